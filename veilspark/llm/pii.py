@@ -30,7 +30,7 @@ IP = r"(?<![0-9])[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++"
 CARD = r"[0-9](?:[\\x20-]?[0-9])++"
 PHONE = r"\\+[0-9][\\x20().0-9-]+[0-9]"
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-TOKEN = r"(?<![\\pL0-9_])[\\pL_]{2,30}+(?:[=:#]|[ ]|[=:#] )[A-Za-z0-9][A-Za-z0-9._@+-]*+"
+TOKEN = r"(?<![\\pL_])[\\pL_]++(?:[=:#]|[ ]|[=:#] )(?=(?:[A-Za-z._@+-]*+[0-9]){3})[A-Za-z0-9][A-Za-z0-9._@+-]*+"
 
 
 def _positions(pattern: str, when: str) -> str:
@@ -62,7 +62,7 @@ def scanned(docs: DataFrame) -> DataFrame:
         'e', x.e - length(regexp_extract(x.m, '[._@+-]*$', 0)),
         'pattern', lower(regexp_extract(x.m, r'^([\pL_]+(?:[=:#] ?| ))', 1)),
         'value', regexp_replace(regexp_extract(x.m, r'^[\pL_]+(?:[=:#] ?| )(.*)$', 1), '[._@+-]+$', ''))),
-      x -> length(x.value) >= 6 AND length(regexp_replace(x.value, '[^0-9]', '')) >= 3)"""
+      x -> length(x.value) >= 6 AND length(x.pattern) BETWEEN 3 AND 32)"""
     return rows.select("doc_id", "key_", *KINDS, F.expr(near).alias("near"))
 
 
