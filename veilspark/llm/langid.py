@@ -64,10 +64,10 @@ def phrases(go: list[dict[int, int]], word: bytes) -> int:
     for c in word:
         nxt = go[state].get(c)
         if nxt is None:
-            count += 1
-            nxt = root.get(c, 0)
-            if not nxt:
-                state = 0
+            count += state != 0
+            nxt = root.get(c)
+            if nxt is None:
+                count, state = count + 1, 0
                 continue
         state = nxt
     return count + (state != 0)
@@ -107,7 +107,7 @@ class Parser:
                 vals[i] = [phrases(g, w) for g in self.go]
             if len(self.keys) + len(new) > self.KEPT:
                 self.clear()
-            small = new[vals[new].max(1) < 65536]
+            small = new[vals[new].max(1, initial=0) < 65536]
             keys_, vals_ = np.concatenate([self.keys, keys[small]]), np.concatenate([self.vals, vals[small].astype(np.uint16)])
             order = np.argsort(keys_)
             self.keys, self.vals = keys_[order], vals_[order]
