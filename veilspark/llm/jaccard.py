@@ -270,8 +270,8 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, rows: int = 5
         main = big.groupBy("cid", "comp").agg(F.count("*").alias("k")).groupBy("cid").agg(F.max_by("comp", F.struct("k", F.negative("comp"))).alias("main"))
         loose = big.join(main, "cid").where("comp != main").drop("main")
         counts = loose.groupBy("cid").agg(F.greatest(F.ceil(F.count("*") / (chunk // 2)), F.ceil(F.sum("n") / load)).cast("int").alias("blocks"))
-        loose = loose.join(counts, "cid").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).cast("long")).withColumn("side", F.lit(True))
-        all_ = big.join(counts, "cid").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("chunks"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("long")).withColumn("side", F.lit(False))
+        loose = loose.join(counts, "cid").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1).cast("array<bigint>"))).withColumn("side", F.lit(True))
+        all_ = big.join(counts, "cid").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("chunks"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1).cast("array<bigint>"))).withColumn("side", F.lit(False))
         keep = ["doc_id", "sig", "cid", "comp", "side", "block", "part", "chunks"]
         both = loose.select(keep).unionByName(all_.select(keep)).withColumn("chunk", F.col("block") * F.col("chunks") + F.col("part")).withColumn("task", F.xxhash64("cid", "chunk"))
         more = C.materialize(linked(both.select("doc_id", "sig", "cid", "chunk", "comp", "side", "task")), "ngram-links")
