@@ -27,7 +27,7 @@ def digits(c) -> Column:
 
 
 def digit(c: Column, at: int) -> Column:
-    return F.substring(c, at + 1, 1).cast("int")
+    return F.substring(c, at + 1, 1).try_cast("int")
 
 
 def weighted(c: Column, weights, start: int = 0) -> Column:

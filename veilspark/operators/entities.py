@@ -10,7 +10,9 @@ from ..functions import text as T
 from .detect import prefix_of
 from .graph import components, materialize
 
-NAME_MAP_SQL = F.array(*[F.lit(n) for n in P.FIRST_NAMES])
+
+def _is_name(c: Column) -> Column:
+    return c.isin(*P.FIRST_NAMES)
 
 
 def person(c) -> Column:
@@ -22,8 +24,8 @@ def person(c) -> Column:
     # every case ending a first name can have, taken off
     base = lambda w: F.filter(
         F.array(w, *[F.concat(F.substring(w, F.lit(1), F.length(w) - k), F.lit(e)) for k in (1, 2) for e in ("", "а", "я", "й", "ь")]),
-        lambda f: F.array_contains(NAME_MAP_SQL, f))
-    names = F.filter(words, lambda w: (F.size(base(w)) > 0) & ~w.rlike(P.SURNAME_END) | F.array_contains(NAME_MAP_SQL, w))
+        lambda f: _is_name(f))
+    names = F.filter(words, lambda w: (F.size(base(w)) > 0) & ~w.rlike(P.SURNAME_END) | _is_name(w))
     rest = F.filter(words, lambda w: ~F.array_contains(names, w) & ~F.array_contains(patr, w))
     name = F.coalesce(F.get(base(F.get(names, F.lit(0))), F.lit(0)), F.lower(F.get(initials, F.lit(0))))
     p = F.coalesce(F.regexp_replace(F.get(patr, F.lit(0)), "(?<=вич|ьич|нич|ич)(?:а|у|ем|е)$|(?<=вн|чн)(?:а|ы|е|у|ой|ою)$", ""), F.lower(F.get(initials, F.lit(1))))
