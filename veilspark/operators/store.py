@@ -87,3 +87,66 @@ def bench(cases: DataFrame) -> DataFrame:
     return cases.rollup("category").agg(
         F.count("*").alias("cases"), F.count_if(ok).alias("ok"), F.count_if(F.size("lost") > 0).alias("fp"), F.count_if(~F.col("roundtrip_ok")).alias("rt"),
     ).withColumn("category", F.coalesce("category", F.lit("TOTAL")))
+
+
+def format_code(path) -> F.Column:
+    """ok, or why a file can't be taken: format (unknown), convert (needs another program), scan (an image)."""
+    ext = F.lower(F.regexp_extract(F.col(path), r"[.]([^./]+)$", 1))
+    return (
+        F.when(ext.isin("txt", "docx", "docm", "pptx", "xlsx", "xlsm", "rtf", "pdf"), "ok").when(ext.isin("doc", "odt"), "convert")
+        .when(ext.isin("png", "jpg", "jpeg", "tif", "tiff", "bmp", "heic"), "scan").otherwise("format")
+    )
+
+
+def clean_stem(name) -> F.Column:
+    """A file name without folder, extension and signs that file systems refuse; at most 180 characters."""
+    stem = F.regexp_replace(F.regexp_replace(F.col(name), r"^.*[/\\]", ""), r"[.][^.]*$", "")
+    return F.left(F.trim(F.regexp_replace(stem, r'[\x00-\x1f<>:"|?*]+', "_")), F.lit(180))
+
+
+def numeric_again(text) -> F.Column:
+    """A restored cell as a number if it is digits without a leading zero, under 16 of them; else null."""
+    return F.when(F.col(text).rlike("^[1-9][0-9]{0,14}$"), F.col(text).try_cast("bigint"))
+
+
+def scrubbed(kind, value) -> F.Column:
+    """Metadata goes, text stays."""
+    return F.when(F.col(kind).isin("creator", "company", "title", "lastModifiedBy", "property"), F.lit("")).otherwise(F.col(value))
+
+
+def marks_summary(marks: DataFrame) -> DataFrame:
+    """Restored marks (mark, value, pos) with counts and first places, the doubtful ones first."""
+    severity = F.when(F.col("mark") == "unknown", 0).when(F.col("mark") == "case", 1).otherwise(2)
+    return marks.groupBy("mark", "value").agg(F.count("*").alias("n"), F.min("pos").alias("first")).withColumn("severity", severity)
+
+
+def forms_in_order(occurrences: DataFrame) -> DataFrame:
+    """(token, forms): the forms of each token in order of their places, joined by a bar."""
+    return occurrences.groupBy("token").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "original"))), lambda x: x["original"]), "|").alias("forms"))
+
+
+def first_wins(pairs: DataFrame, key: str, order: str) -> DataFrame:
+    """Of rows with equal keys the first."""
+    return pairs.groupBy(key).agg(F.min(F.struct(order, *[c for c in pairs.columns if c not in (key, order)])).alias("r_")).select(key, "r_.*")
+
+
+def upper_median(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """The value at n div 2 + 1 of each group, in order."""
+    w = Window.partitionBy(group).orderBy(value)
+    n = F.count("*").over(Window.partitionBy(group))
+    return rows.withColumns({"rn_": F.row_number().over(w), "n_": n}).where(F.col("rn_") == F.floor(F.col("n_") / 2) + 1).select(group, F.col(value).alias("median"))
+
+
+def newest_forms(forms: DataFrame) -> DataFrame:
+    """Of each place the forms of the newest generation."""
+    w = Window.partitionBy("place").orderBy(F.desc("gen"), "seq")
+    return forms.withColumn("rn_", F.row_number().over(w)).where("rn_ = 1").drop("rn_")
+
+
+def first_free_name(names: DataFrame, base: str) -> DataFrame:
+    """(name): base, or base (n) with the smallest n from 2 that no name has."""
+    pattern = "^" + base.replace(".", "[.]") + r"(?: [(]([0-9]+)[)])?$"
+    n = names.where(F.col("name").rlike(pattern)).select(F.when(F.col("name") == base, 1).otherwise(F.regexp_extract("name", pattern, 1).try_cast("bigint")).alias("n")).distinct()
+    w = Window.orderBy("n")  # numbers of one base name: as many as a user made on one day
+    run = n.where("n >= 1").withColumn("r", F.row_number().over(w)).agg(F.coalesce(F.max(F.when(F.col("n") == F.col("r"), F.col("r"))), F.lit(0)).alias("k"))
+    return run.select(F.when(F.col("k") == 0, base).otherwise(F.concat(F.lit(base + " ("), (F.col("k") + 1).cast("string"), F.lit(")"))).alias("name"))

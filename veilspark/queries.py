@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import patterns as P
+from .functions import grammar
 from .functions import text as T
 from .functions import validators as V
-from .operators import detect, entities, masking, store
+from .operators import detect, entities, layout, masking, store
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -486,6 +486,105 @@ def person_parse(spark, sf_dir):
     return rows.select("form", entities.person("form").alias("p")).select("form", "p.surname", "p.name")
 
 
+# ---- files, marks, forms -----------------------------------------------------------------------------------------
+_EXT = "CASE o_orderkey % 6 WHEN 0 THEN 'TXT' WHEN 1 THEN 'docx' WHEN 2 THEN 'doc' WHEN 3 THEN 'png' WHEN 4 THEN 'exe' ELSE 'xlsx' END"
+
+
+@query(f"SELECT o_orderkey, CASE o_orderkey % 6 WHEN 2 THEN 'convert' WHEN 3 THEN 'scan' WHEN 4 THEN 'format' ELSE 'ok' END AS code FROM orders")
+def file_format_check(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("/in/a.b/f"), "o_orderkey", F.lit("."), F.expr(_EXT)).alias("path"))
+    return rows.select("o_orderkey", store.format_code("path").alias("code"))
+
+
+@query("SELECT p_partkey, 'a_b ' || p_name AS stem FROM part")
+def clean_file_stem(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit('C:\\x/a<:b '), "p_name", F.lit(".docx")).alias("name"))
+    return rows.select("p_partkey", store.clean_stem("name").alias("stem"))
+
+
+@query("SELECT o_orderkey, CASE WHEN regexp_full_match(t, '[1-9][0-9]{0,14}') THEN CAST(t AS BIGINT) END AS value FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '0' || o_orderkey WHEN 1 THEN CAST(o_orderkey AS VARCHAR) ELSE o_orderkey || 'x' END AS t FROM orders)")
+def xlsx_numeric_restore(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.expr("CASE o_orderkey % 3 WHEN 0 THEN concat('0', o_orderkey) WHEN 1 THEN cast(o_orderkey AS string) ELSE concat(o_orderkey, 'x') END").alias("t"))
+    return rows.select("o_orderkey", store.numeric_again("t").alias("value"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN '' ELSE md5(text) END AS text FROM conversations")
+def metadata_scrub(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", "title").otherwise("paragraph").alias("kind"), F.md5("text").alias("value"))
+    return rows.select("conv_id", "turn", store.scrubbed("kind", "value").alias("text"))
+
+
+@query("SELECT mark, value, count(*) AS n, min(pos) AS first, CASE mark WHEN 'unknown' THEN 0 WHEN 'case' THEN 1 ELSE 2 END AS severity FROM (SELECT CASE event_id % 3 WHEN 0 THEN 'unknown' WHEN 1 THEN 'case' ELSE 'exact' END AS mark, user_id AS value, event_id AS pos FROM events) GROUP BY mark, value")
+def restore_marks_summary(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.expr("CASE event_id % 3 WHEN 0 THEN 'unknown' WHEN 1 THEN 'case' ELSE 'exact' END").alias("mark"), F.col("user_id").alias("value"), F.col("event_id").alias("pos"))
+    return store.marks_summary(e)
+
+
+@query("SELECT conv_id AS token, string_agg(role, '|' ORDER BY turn) AS forms FROM conversations GROUP BY conv_id")
+def occurrence_forms(spark, sf_dir):
+    return store.forms_in_order(read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("token"), F.col("turn").alias("seq"), F.col("role").alias("original")))
+
+
+@query("SELECT value, min(doc_id) AS doc_id FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS value FROM documents) WHERE length(value) >= 3 GROUP BY value")
+def split_lines_first_wins(spark, sf_dir):
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("value")).where(F.length("value") >= 3)
+    return store.first_wins(lines, "value", "doc_id")
+
+
+@query("SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem")
+def unordered_pairs(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").select(F.least("l_partkey", "l_suppkey").alias("a"), F.greatest("l_partkey", "l_suppkey").alias("b")).distinct()
+
+
+@query("SELECT p_brand, p_size AS median FROM (SELECT p_brand, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_size) AS rn, count(*) OVER (PARTITION BY p_brand) AS n FROM part WHERE p_size > 6 AND p_size < 30) WHERE rn = n // 2 + 1")
+def median_font_size(spark, sf_dir):
+    return store.upper_median(read(spark, sf_dir, "part").where("p_size > 6 AND p_size < 30").select("p_brand", "p_size"), "p_brand", "p_size")
+
+
+@query("SELECT place, gen, seq FROM (SELECT o_custkey AS place, o_orderkey % 10 AS gen, o_orderkey AS seq, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 10 DESC, o_orderkey) AS rn FROM orders) WHERE rn = 1")
+def newest_place_forms(spark, sf_dir):
+    return store.newest_forms(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("place"), (F.col("o_orderkey") % 10).alias("gen"), F.col("o_orderkey").alias("seq")))
+
+
+@query("SELECT 'S (' || (count(*) + 1) || ')' AS name FROM nation")
+def default_session_name(spark, sf_dir):
+    names = read(spark, sf_dir, "nation").select(F.when(F.col("n_nationkey") == 0, "S").otherwise(F.concat(F.lit("S ("), F.col("n_nationkey") + 1, F.lit(")"))).alias("name"))
+    return store.first_free_name(names, "S")
+
+
+@query("SELECT event_type AS stage, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1")
+def job_stage_totals(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_type", F.from_json("props", "k bigint").alias("p"))
+    return e.groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("n"), F.sum("p.k").alias("total"))
+
+
+@query("SELECT token, status, form FROM (SELECT user_id AS token, arg_max(CASE event_id % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'excluded' WHEN 2 THEN 'active' ELSE 'replaced' END, event_id) AS status, arg_max(event_type, event_id) FILTER (event_id % 4 = 0) AS form FROM events GROUP BY 1)")
+def edits_folded(spark, sf_dir):
+    ops = "CASE event_id % 4 WHEN 0 THEN 'add' WHEN 1 THEN 'exclude' WHEN 2 THEN 'unexclude' ELSE 'replace' END"
+    e = read(spark, sf_dir, "events").select(F.lit(1).alias("session_id"), F.col("user_id").alias("token"), F.expr(ops).alias("op"), F.col("event_id").alias("ts"), F.col("event_type").alias("value"))
+    return store.merge_events(e).select("token", "status", "form")
+
+
+@query("SELECT * FROM (VALUES ('Белозёров Аркадий Львович', 'datv', 'Белозёрову Аркадию Львовичу'), ('Скворцова Елена Дмитриевна', 'gent', 'Скворцовой Елены Дмитриевны'), ('Зелинский Олег Петрович', 'ablt', 'Зелинским Олегом Петровичем')) t(name, kase, form)")
+def decline_names(spark, sf_dir):
+    rows = spark.createDataFrame([("Белозёров Аркадий Львович", "datv"), ("Скворцова Елена Дмитриевна", "gent"), ("Зелинский Олег Петрович", "ablt")], "name string, kase string")
+    return rows.select("name", "kase", grammar.decline("name", "kase").alias("form"))
+
+
+@query("SELECT * FROM (VALUES ('Документы получены от ', '.', 'gent'), ('Письмо направить ', ' до пятницы.', 'datv'), ('Необходимо уведомить ', ' о сделке.', 'accs'), ('Сведения о ', ' устарели.', 'loct')) t(l, r, kase)")
+def target_case(spark, sf_dir):
+    rows = spark.createDataFrame([("Документы получены от ", "."), ("Письмо направить ", " до пятницы."), ("Необходимо уведомить ", " о сделке."), ("Сведения о ", " устарели.")], "l string, r string")
+    return rows.select("l", "r", grammar.target_case("l", "r").alias("kase"))
+
+
+@query("SELECT doc_id, CAST(count(*) AS BIGINT) AS blocks_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) FROM documents) GROUP BY 1")
+def pack_blocks(spark, sf_dir):
+    """Lines packed into blocks; the blocks hold every line once."""
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    blocks = layout.packed_blocks(lines, 3000)
+    return blocks.groupBy("doc_id").agg(F.sum(F.size(F.split("text", "\n"))).cast("long").alias("blocks_lines"))
+
+
 def queries() -> dict:
     return Q
 
