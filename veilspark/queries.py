@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from .functions import grammar
 from .functions import text as T
 from .functions import validators as V
 from .operators import detect, entities, layout, masking, store
+from .operators.graph import shared_dir
+from .streaming import sessions
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -585,6 +589,18 @@ def pack_blocks(spark, sf_dir):
     return blocks.groupBy("doc_id").agg(F.sum(F.size(F.split("text", "\n"))).cast("long").alias("blocks_lines"))
 
 
+@query("SELECT session_id, value, 'U_' || row_number() OVER (PARTITION BY session_id ORDER BY seen, value) AS token FROM (SELECT event_type AS session_id, CAST(user_id AS VARCHAR) AS value, min(event_id) AS seen FROM events GROUP BY 1, 2)")
+def stream_session_tokens(spark, sf_dir):
+    """The session store over a stream of finds, run to the end of what is there."""
+    schema = read(spark, sf_dir, "events").schema
+    finds = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    finds = finds.select(F.col("event_type").alias("session_id"), F.col("user_id").cast("string").alias("value"), F.lit("U").alias("type"), F.lit("U").alias("prefix"), F.col("event_id").alias("seen"))
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    run = sessions.session_tokens(finds).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(sessions.OUT).parquet(f"{out}/rows").select("session_id", "value", "token")
+
+
 def queries() -> dict:
     return Q
 
