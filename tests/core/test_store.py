@@ -108,3 +108,10 @@ def test_restore_new_text(spark):
     assert got[1]["restored"] == "Письмо направить Белозёрову Аркадию Львовичу до пятницы. Сторона: Вектор, [INN_9]."
     assert [m["mark"] for m in got[1]["marks"]] == ["case", "exact", "unknown"]
     assert got[2]["restored"] == "без них" and got[3]["restored"] is None and got[2]["marks"] == []
+
+
+def test_mask_finds_runs_inside_words(spark):
+    docs = spark.createDataFrame([("s", 1, "No40702810 и БИК044,7a x12 «Вектор» Векторы")], "session_id string, doc_id int, text string")
+    pairs = spark.createDataFrame([("s", "40702810", "RS_1"), ("s", "044", "BIK_1"), ("s", "12", "N_1"), ("s", "Вектор", "YUL_1")], "session_id string, value string, token string")
+    assert masking.mask(docs, pairs).first()["masked"] == "No[RS_1] и БИК[BIK_1],7a x[N_1] «[YUL_1]» Векторы"
+    assert {r["value"] for r in masking.leaks(docs, pairs).collect()} == {"40702810", "044", "12", "Вектор"}

@@ -13,7 +13,8 @@ from ..functions import patterns as P
 from ..functions import text as T
 from .detect import prefix_of
 
-BROADCAST_BYTES = 64 << 20
+#: A run of digits or of other word signs: where a bounded value stands in a text, its first run is a run of the text.
+RUN = r"(?U)\d+|[\w&&[^\d]]+"
 
 
 def number_tokens(found: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -83,16 +84,15 @@ class Replacer:
 def mask(docs: DataFrame, pairs: DataFrame, text: str = "text", out: str = "masked") -> DataFrame:
     """Every bounded occurrence of every value in its session's texts becomes its token.
 
-    docs: session_id, a text and more; pairs: session_id, value, token. Only values whose first word a document holds
-    are brought to it, by an equi-join on that word, so neither side is collected whole.
+    docs: session_id, a text and more; pairs: session_id, value, token. Only values whose first run a document holds
+    are brought to it, by an equi-join on that run, so neither side is collected whole.
     """
-    pairs = pairs.where("value != ''").withColumn("word", F.coalesce(F.nullif(F.regexp_extract("value", r"(?U)(\w+)", 1), F.lit("")), F.lit("")))
+    pairs = pairs.where("value != ''").withColumn("word", F.coalesce(F.nullif(F.regexp_extract("value", RUN, 0), F.lit("")), F.lit("")))
     key = F.xxhash64(*[c for c in docs.columns if c != text], text)
     keyed = docs.withColumn("key_", key)
-    runs = F.array_union(F.regexp_extract_all(F.col(text), F.lit(r"(?U)\w+"), 0), F.array(F.lit("")))
+    runs = F.array_union(F.regexp_extract_all(F.col(text), F.lit(RUN), 0), F.array(F.lit("")))
     words = keyed.select("session_id", "key_", F.explode(F.array_distinct(runs)).alias("word")).distinct()
     mine = words.join(pairs, ["session_id", "word"]).groupBy("session_id", "key_").agg(F.collect_set(F.struct("value", "token")).alias("pairs_"))
-    # a key that begins inside a run of letters after digits, or the other way round, is found by its containing
     joined = keyed.join(mine, ["session_id", "key_"], "left").select(*docs.columns, "pairs_")
     place, have, names = joined.columns.index(text), joined.columns.index("pairs_"), [*docs.columns, out]
 
@@ -139,8 +139,8 @@ def leaks(outputs: DataFrame, originals: DataFrame, limit: int = 200) -> DataFra
 
     outputs: session_id, doc_id, text; originals: session_id, value. Candidates meet on the value's first word.
     """
-    vals = originals.where("value != ''").select("session_id", "value", F.regexp_extract("value", r"(?U)(\w+)", 1).alias("word")).distinct()
-    words = outputs.select("session_id", "doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)\w+"), 0))).alias("word"))
+    vals = originals.where("value != ''").select("session_id", "value", F.regexp_extract("value", RUN, 0).alias("word")).distinct()
+    words = outputs.select("session_id", "doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(RUN), 0))).alias("word"))
     cand = words.join(vals, ["session_id", "word"]).where(F.contains("text", "value"))
     quoted = F.regexp_replace("value", r"([^0-9A-Za-zА-Яа-яЁё_ ])", r"\\$1")
     first, last = F.left("value", F.lit(1)), F.right("value", F.lit(1))
