@@ -140,8 +140,10 @@ def leaks(outputs: DataFrame, originals: DataFrame, limit: int = 200) -> DataFra
     outputs: session_id, doc_id, text; originals: session_id, value. Candidates meet on the value's first word.
     """
     vals = originals.where("value != ''").select("session_id", "value", F.regexp_extract("value", RUN, 0).alias("word")).distinct()
-    words = outputs.select("session_id", "doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(RUN), 0))).alias("word"))
-    cand = words.join(vals, ["session_id", "word"]).where(F.contains("text", "value"))
+    words = outputs.select("session_id", "doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(RUN), 0))).alias("word"))
+    cand = words.join(vals, ["session_id", "word"]).select("session_id", "doc_id", "value").distinct()
+    # texts meet their few candidates only, never their words
+    cand = cand.join(outputs.select("session_id", "doc_id", "text"), ["session_id", "doc_id"]).where(F.contains("text", "value"))
     quoted = F.regexp_replace("value", r"([^0-9A-Za-zА-Яа-яЁё_ ])", r"\\$1")
     first, last = F.left("value", F.lit(1)), F.right("value", F.lit(1))
     pre = F.when(first.rlike("[0-9]"), "(?<![0-9])").when(first.rlike(r"(?U)\w"), r"(?<!\w)").otherwise("")
