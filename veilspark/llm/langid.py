@@ -15,10 +15,12 @@ runner-up's phrases over the sum of both (0.5: no difference; 1.0 with one langu
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -108,25 +110,38 @@ class Parser:
             if len(self.keys) + len(new) > self.KEPT:
                 self.clear()
             small = new[vals[new].max(1, initial=0) < 65536]
-            keys_, vals_ = np.concatenate([self.keys, keys[small]]), np.concatenate([self.vals, vals[small].astype(np.uint16)])
-            order = np.argsort(keys_)
-            self.keys, self.vals = keys_[order], vals_[order]
+            to = np.searchsorted(self.keys, keys[small])
+            self.keys, self.vals = np.insert(self.keys, to, keys[small]), np.insert(self.vals, to, vals[small].astype(np.uint16), axis=0)
         each = vals[inv]
         for k in range(len(self.langs)):
             out[:, k] = np.bincount(doc, each[:, k], slab.n)
         return out
 
 
+_parsers: dict[bytes, Parser] = {}
+
+
+def parser_for(sample: dict[str, bytes]) -> Parser:
+    """The worker's parser for a sample; kept between tasks, one at a time."""
+    mark = hashlib.md5(repr(sorted(sample.items())).encode()).digest()
+    if mark not in _parsers:
+        _parsers.clear()
+        _parsers[mark] = Parser(sample)
+    return _parsers[mark]
+
+
 def fit(docs: DataFrame, bound: int = 300, chars: int = 100_000, most: int = 64) -> dict[str, bytes]:
     """Sample text by language, from documents outside the held-out fold with a language."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~C.held_out(MOD, REM))
-    langs = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most)
-    ids = None
-    for (lang,) in [tuple(r)[:1] for r in langs.select("lang").collect()]:
-        one = known.where(F.col("lang") == lang).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-        ids = one if ids is None else ids.unionByName(one)
-    if ids is None:
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()
+    if not counts:
         return {}
+    # one pass: of each language about three times as many ids as are wanted, then the first of them by hash
+    spark, scale = docs.sparkSession, 1 << 30
+    cut = spark.createDataFrame([(r["lang"], min(scale, 3 * bound * scale // r["count"] + 1)) for r in counts], "lang string, cut_ long")
+    drawn = known.select("doc_id", "lang").join(F.broadcast(cut), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < F.col("cut_"))
+    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = drawn.withColumn("rn_", F.row_number().over(w)).where(F.col("rn_") <= bound).select("doc_id", "lang").dropDuplicates(["doc_id"])
     share = chars // bound
 
     def run(batches):
@@ -159,7 +174,7 @@ def predict(docs: DataFrame, sample: dict[str, bytes], lang_col: str = "lang_pre
     place = docs.columns.index("text")
 
     def run(batches):
-        parser = Parser(shared.value)
+        parser = parser_for(shared.value)
         names = np.array([*parser.langs, "und"], object)
         for b in batches:
             col = b.column(place)
