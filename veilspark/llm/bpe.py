@@ -30,12 +30,12 @@ from . import common as C
 
 NAME = "word_bpe_49k.json"
 INF = 1 << 60
-KEPT = 250_000
+KEPT, PAIRS = 600_000, 250_000
 #: Unicode white space
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CUT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
 #: For texts without characters beyond U+024F, without superscripts and fractions: the same, faster.
-PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+PLAIN = re.compile(r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\w\s]|_)+")
 RARE = re.compile("[^\\x00-\\x1b\\x20-\\u024f]|[\\x85\\xa0\\xb2\\xb3\\xb9\\xbc-\\xbe]")
 
 
@@ -56,6 +56,9 @@ def byte_symbols() -> list[str]:
 
 
 class Codec:
+    #: How many words are kept.
+    kept: int | None = None
+
     def __init__(self, path: str | None = None):
         with open(path or default_path(), encoding="utf-8") as f:
             spec = json.load(f)
@@ -75,7 +78,15 @@ class Codec:
             if whole not in self.born:
                 self.halves[whole], self.born[whole] = pair, r
         self.width = {i: len(t[: -len(self.suffix)] if self.suffix and t.endswith(self.suffix) and len(t) > len(self.suffix) else t) for t, i in self.vocab.items()}
-        self.longest = max(self.width.values())
+        # the widths of tokens of three symbols and more by their last three, the widest first, inside words and at their ends
+        widths: tuple[dict[str, set[int]], dict[str, set[int]]] = ({}, {})
+        for t, i in self.vocab.items():
+            ends = bool(self.suffix) and t.endswith(self.suffix) and len(t) > len(self.suffix)
+            if self.width[i] >= 3:
+                body = t[: self.width[i]]
+                widths[ends].setdefault(body[-3:], set()).add(self.width[i])
+        self.sizes = tuple({k: (*sorted(v, reverse=True), 2, 1) for k, v in w.items()} for w in widths)
+        self.raw = {i: int(i).to_bytes(4, "little") for i in self.text}
         self.table = dict(enumerate(byte_symbols()))
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -108,7 +119,7 @@ class Codec:
         key = (left, right)
         ok = self.pairs.get(key)
         if ok is None:
-            if len(self.pairs) > KEPT:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             quiet, across = self.border(left, right)
             ok = self.pairs[key] = quiet and across == INF
@@ -128,9 +139,18 @@ class Codec:
 
     def ending(self, word: str, n: int, last: list[int], tail: str) -> int:
         """The last token of the encoding of word[:n] + tail, given those of all shorter prefixes."""
-        for size in range(min(n, self.longest), 0, -1):
-            t = self.vocab.get(word[n - size : n] + tail)
-            if t is not None and self.reached(t) and (size == n or self.stable(last[n - size], t)):
+        vocab, whole, pairs = self.vocab, self.whole, self.pairs
+        for size in self.sizes[tail != ""].get(word[n - 3 : n], (2, 1)) if n > 2 else (2, 1):
+            if size > n:
+                continue
+            t = vocab.get(word[n - size : n] + tail)
+            if t is None or not (whole.get(t) or self.reached(t)):
+                continue
+            if size == n:
+                return t
+            before = last[n - size]
+            ok = pairs.get((before, t))
+            if ok or (ok is None and self.stable(before, t)):
                 return t
         raise ValueError("a symbol is not in the vocabulary")
 
@@ -156,7 +176,7 @@ class Codec:
                     break
                 t = last[at]
             out.reverse()
-            self.ids[word] = np.array(out, "<u4").tobytes()
+            self.ids[word] = b"".join([self.raw[t] for t in out])
             self.shown[word] = " ".join([self.text[t] for t in out]).encode()
             before = key
 
@@ -184,7 +204,7 @@ class Codec:
         new: set[str] = set()
         for words in cut:
             new.update(words)
-        if self.ids and len(self.ids) + len(new) > KEPT:
+        if self.ids and len(self.ids) + len(new) > (self.kept or KEPT):
             self.ids.clear()
             self.shown.clear()
         new = {w for w in new if w not in self.ids}
