@@ -20,6 +20,7 @@ as ''; repeated rows are packed each; an empty table gives no pieces. Ties have
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
 from fractions import Fraction
 
@@ -35,28 +36,60 @@ from . import common as C
 SIZE, END, QUEUES = 4096, 2, 256
 
 
+class WordCodec(bpe.Codec):
+    """Ids by the tokenizers library, a distinct word once: new words are encoded as one text and parted at the tokens
+    that end a word."""
+
+    kept = 400_000
+
+    def __init__(self, path: str | None = None):
+        from tokenizers import Tokenizer
+
+        super().__init__(path)
+        self.library = Tokenizer.from_file(path or bpe.default_path())
+        self.ends = np.array([self.text.get(i, "").endswith(self.suffix) for i in range(self.top)])
+        self.kind = "<u2" if self.top <= 65536 else "<u4"
+
+    def learn(self, words: list[str]) -> None:
+        for lo in range(0, len(words), 20_000):
+            part = words[lo : lo + 20_000]
+            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1 if self.suffix else []
+            if len(cut) != len(part):
+                super().learn(part)
+                continue
+            raw = ids.tobytes()
+            self.ids.update(zip(part, [raw[a:b] for a, b in zip([0, *(cut[:-1] * 4).tolist()], (cut * 4).tolist())]))
+
+
+_codecs: dict[str, WordCodec] = {}
+
+
+def codec(path: str | None = None) -> WordCodec:
+    key = path or bpe.default_path()
+    if key not in _codecs:
+        _codecs[key] = WordCodec(key)
+    return _codecs[key]
+
+
 def encoded(docs: DataFrame, path: str | None = None, end: int = END) -> DataFrame:
     """doc_id, src, n, ids, part, at: ``at`` counts the source's tokens before the document in its partition."""
 
     def run(batches):
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path or bpe.default_path())
-        kind = "<u2" if tok.get_vocab_size() < 65536 else "<u4"
-        part, given = TaskContext.get().partitionId(), {}
+        c, part, given = codec(path), TaskContext.get().partitionId(), {}
         for b in batches:
-            for lo in range(0, b.num_rows, 64):
-                c = b.slice(lo, 64)
-                texts = [t or "" for t in c.column("text").to_pylist()]
-                src = c.column("src").to_pylist()
+            lo = 0
+            for texts in bpe.parts(b.column("text")):
+                src = b.column("src").slice(lo, len(texts)).to_pylist()
                 n, ids, at = [], [], []
-                for t, s in zip(tok.encode_batch_fast(texts, add_special_tokens=False), src):
-                    x = np.array([*t.ids, end], kind)
-                    n.append(len(x))
-                    ids.append(x.tobytes())
+                for raw, s in zip(c.encode(texts), src):
+                    x = np.frombuffer(raw, "<u4").astype(c.kind)
+                    n.append(len(x) + 1)
+                    ids.append(x.tobytes() + np.array([end], c.kind).tobytes())
                     at.append(given.get(s, 0))
-                    given[s] = at[-1] + len(x)
-                yield pa.RecordBatch.from_arrays([c.column("doc_id"), c.column("src"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array([part] * len(n), pa.int32()), pa.array(at, pa.int64())], names=["doc_id", "src", "n", "ids", "part", "at"])
+                    given[s] = at[-1] + n[-1]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, len(texts)), b.column("src").slice(lo, len(texts)), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array([part] * len(n), pa.int32()), pa.array(at, pa.int64())], names=["doc_id", "src", "n", "ids", "part", "at"])
+                lo += len(texts)
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("src"))
     return rows.mapInArrow(run, "doc_id long, src string, n long, ids binary, part int, at long")
@@ -159,9 +192,9 @@ def pack(docs: DataFrame, size: int = SIZE, targets: dict[str, float] | None = N
 
 
 def _small(path: str | None) -> bool:
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path or bpe.default_path()).get_vocab_size() < 65536
+    with open(path or bpe.default_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    return max(*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", []))) < 65536
 
 
 def op2_packing_drr(spark: SparkSession, sf_dir: str) -> DataFrame:
