@@ -192,6 +192,18 @@ def test_pii_bootstraps_patterns(spark):
     assert red[20] == "ref konto: [ID] end" and red[10] == "ref konto: [CARD] end" and red[21] == text[21] and red[22] is None
 
 
+def test_pii_every_base_span_seeds(spark):
+    """Phones, cards written with spaces and e-mails without digits teach a field, as do quotes and blanks round the sign."""
+    good = ["+1 (487) 555-7209", "+49 30 1234567", "4111 1111 1111 1111", "ann.lee@mail.example.com", "4024 0071 3436 4842", "bo@example.org", "+44 20 7946 0958"]
+    forms = ["x kontakt: {} y", 'x token = "{}" y', "x Feld='{}' y", 'x "feld":   "{}" y']
+    rows = [(100 * f + i, form.format(g)) for f, form in enumerate(forms) for i, g in enumerate(good)]
+    rows += [(100 * f + 50, form.format("QX-77812-K")) for f, form in enumerate(forms)] + [(900, "room plan44123 x \n77812345 kontakt:\nQX-77812-K")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    found = {r["doc_id"]: [text[r["doc_id"]][s["s"] : s["e"]] for s in r["found"]] for r in pii.extract(df).collect()}
+    assert {d: x for d, x in found.items() if x} == {100 * f + 50: ["QX-77812-K"] for f in range(len(forms))}
+
+
 def test_pii_odd_rows(spark, odd, none):
     assert pii.extract(odd).count() == 11 and pii.extract(none).count() == 0
     red = pii.redact(odd)

@@ -1,7 +1,8 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame and SQL functions alone.
 
-Seeds are the base patterns' finds (e-mail, IP, card, phone). A pattern is the word and sign before an identifier-like
-token (at least six characters and three digits); patterns and token values form a weighted graph over the whole corpus.
+Seeds are the base patterns' finds (e-mail, IP, card, phone), whatever they look like. A pattern is the word and separator
+(blanks, one of ``=:#``, a quote) before a seed or before an identifier-like token (at least six characters and three
+digits); runs of blanks, up to 64, count as one. Patterns and values form a weighted graph over the whole corpus.
 Scores go round a fixed number of times: a pattern scores the mean of its distinct values' scores, if enough of them are
 seeds; a value scores 1 if it is a seed, else the best score of its patterns, damped. Tokens after patterns that end at
 ``confident`` or more are found as kind ``id``; found spans never touch a base one.
@@ -30,7 +31,12 @@ IP = r"(?<![0-9])[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++"
 CARD = r"[0-9](?:[\\x20-]?[0-9])++"
 PHONE = r"\\+[0-9][\\x20().0-9-]+[0-9]"
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-TOKEN = r"(?<![\\pL_])[\\pL_]++(?:[=:#]|[ ]|[=:#] )(?=(?:[A-Za-z._@+-]*+[0-9]){3})[A-Za-z0-9][A-Za-z0-9._@+-]*+"
+QUOTE = r"[\\x22\\x27]"
+#: What may stand between a word and a value; never nothing.
+SEP = rf"(?:{QUOTE}?+[ ]{{0,64}}+[=:#][ ]{{0,64}}+{QUOTE}?+|[ ]{{1,64}}+{QUOTE}?+|{QUOTE})"
+TOKEN = rf"(?<![\\pL_])[\\pL_]++{SEP}(?=(?:[A-Za-z._@+-]*+[0-9]){{3}})\\+?+[A-Za-z0-9][A-Za-z0-9._@+-]*+"
+#: Characters before a seed that hold the longest pattern.
+LEFT = 168
 
 
 def _positions(pattern: str, when: str) -> str:
@@ -52,25 +58,34 @@ BASE = {
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, key_, a column of spans for each kind, and ``near``: tokens after patterns, with their pattern and value."""
+    """doc_id, key_, a column of spans for each kind, ``near``: tokens after patterns, with their pattern and value, and
+    ``seeds``: base spans' patterns and values."""
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text_"))
     rows = rows.withColumns({"digits_": F.col("text_").rlike("[0-9]"), "key_": F.xxhash64("text_")})
     rows = rows.withColumns({f"all_{k}": F.expr(_positions(p, w)) for k, (p, w, _) in BASE.items()} | {"all_near": F.expr(_positions(TOKEN, "digits_"))})
     rows = rows.withColumns({k: F.expr(f"transform(filter(all_{k}, x -> {ok}), x -> named_struct('s', x.s, 'e', x.e, 'm', x.m))") for k, (_, _, ok) in BASE.items()})
-    near = r"""filter(transform(all_near, x -> named_struct(
-        's', x.e - length(regexp_extract(x.m, '[A-Za-z0-9][A-Za-z0-9._@+-]*$', 0)),
+    sep = SEP.replace("\\\\", "\\")
+    near = rf"""filter(transform(all_near, x -> named_struct(
+        's', x.e - length(regexp_extract(x.m, r'\+?[A-Za-z0-9][A-Za-z0-9._@+-]*$', 0)),
         'e', x.e - length(regexp_extract(x.m, '[._@+-]*$', 0)),
-        'pattern', lower(regexp_extract(x.m, r'^([\pL_]+(?:[=:#] ?| ))', 1)),
-        'value', regexp_replace(regexp_extract(x.m, r'^[\pL_]+(?:[=:#] ?| )(.*)$', 1), '[._@+-]+$', ''))),
+        'pattern', lower(regexp_replace(regexp_extract(x.m, r'^([\pL_]+{sep})', 1), ' +', ' ')),
+        'value', regexp_replace(regexp_extract(x.m, r'\+?[A-Za-z0-9][A-Za-z0-9._@+-]*$', 0), '[._@+-]+$', ''))),
       x -> length(x.value) >= 6 AND length(x.pattern) BETWEEN 3 AND 32)"""
-    return rows.select("doc_id", "key_", *KINDS, F.expr(near).alias("near"))
+    seeds = rf"""filter(transform(concat(email, ip, card, phone), x -> named_struct(
+        'pattern', lower(regexp_replace(regexp_extract(substring(text_, greatest(x.s - {LEFT}, 0) + 1, least(x.s, {LEFT})), r'(?<![\pL_])([\pL_]++{sep})\z', 1), ' +', ' ')),
+        'value', x.m)), x -> length(x.pattern) BETWEEN 3 AND 32)"""
+    return rows.select("doc_id", "key_", *KINDS, F.expr(near).alias("near"), F.expr(seeds).alias("seeds"))
 
 
 def scored_patterns(rows: DataFrame, rounds: int = 3, least: int = 5, confident: float = 0.8, damp: float = 0.9) -> DataFrame:
     """Patterns with a final score of at least ``confident``, from scanned rows."""
-    seeds = "exists(concat(email, ip, card, phone), b -> b.s < n.e AND n.s < b.e)"
+    touched = "exists(concat(email, ip, card, phone), b -> b.s < n.e AND n.s < b.e)"
+    # a token that starts with a base span is in the graph as that span
+    tokens = "filter(near, n -> NOT exists(concat(email, ip, card, phone), b -> b.s = n.s))"
     edges = (
-        rows.select(F.expr(f"explode(transform(near, n -> named_struct('pattern', n.pattern, 'value', n.value, 'seed', {seeds}))) AS x")).select("x.*")
+        rows.select(F.expr(f"""explode(concat(
+            transform({tokens}, n -> named_struct('pattern', n.pattern, 'value', n.value, 'seed', {touched})),
+            transform(seeds, n -> named_struct('pattern', n.pattern, 'value', n.value, 'seed', true)))) AS x""")).select("x.*")
         .groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
     )
     # patterns without enough seeds never score: they go before the rounds
