@@ -204,6 +204,19 @@ def test_pii_every_base_span_seeds(spark):
     assert {d: x for d, x in found.items() if x} == {100 * f + 50: ["QX-77812-K"] for f in range(len(forms))}
 
 
+def test_pii_found_values_teach_patterns(spark):
+    """Numbers found after a seeded field make another field known where they stand again, but too few of them don't."""
+    rows = [(i, f"x konto: user{i}@mail.example.com y") for i in range(30)]
+    ids = [f"QX-77812-K{k}" for k in range(6)]
+    rows += [(100 + k, f"x konto: {v} y") for k, v in enumerate(ids)] + [(200 + k, f"x vorgang: {v} y") for k, v in enumerate(ids)]
+    rows += [(300 + k, f"x raum: {v} y") for k, v in enumerate(ids[:4])]
+    rows += [(400, "x vorgang: ZZ-90210-P y"), (401, "x raum: ZZ-90211-P y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    found = {r["doc_id"]: [text[r["doc_id"]][s["s"] : s["e"]] for s in r["found"]] for r in pii.extract(df).collect()}
+    assert {d: x for d, x in found.items() if x} == {100 + k: [v] for k, v in enumerate(ids)} | {200 + k: [v] for k, v in enumerate(ids)} | {400: ["ZZ-90210-P"]}
+
+
 def test_pii_odd_rows(spark, odd, none):
     assert pii.extract(odd).count() == 11 and pii.extract(none).count() == 0
     red = pii.redact(odd)

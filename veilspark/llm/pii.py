@@ -4,7 +4,8 @@ Seeds are the base patterns' finds (e-mail, IP, card, phone), whatever they look
 (blanks, one of ``=:#``, a quote) before a seed or before an identifier-like token (at least six characters and three
 digits); runs of blanks, up to 64, count as one. Patterns and values form a weighted graph over the whole corpus.
 Scores go round a fixed number of times: a pattern scores the mean of its distinct values' scores, if enough of them are
-seeds; a value scores 1 if it is a seed, else the best score of its patterns, damped. Tokens after patterns that end at
+seeds or follow a pattern that was confident in the round before, so that what is found teaches further patterns; a value
+scores 1 if it is a seed, else the best score of its patterns, damped, else 0. Tokens after patterns that end at
 ``confident`` or more are found as kind ``id``; found spans never touch a base one.
 
 Plan: one narrow pass with the regular expressions, written without the texts; aggregates by pattern and by value (both
@@ -88,13 +89,19 @@ def scored_patterns(rows: DataFrame, rounds: int = 3, least: int = 5, confident:
             transform(seeds, n -> named_struct('pattern', n.pattern, 'value', n.value, 'seed', true)))) AS x""")).select("x.*")
         .groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
     )
-    # patterns without enough seeds never score: they go before the rounds
-    alive = edges.groupBy("pattern").agg(F.count("*").alias("values"), F.sum(F.col("seed").cast("long")).alias("seeds")).where(F.col("seeds") >= least)
-    edges = C.materialize(edges.join(alive.select("pattern", "values"), "pattern"), "pii-graph")
-    scores = edges.groupBy("pattern").agg((F.sum(F.col("seed").cast("long")) / F.count("*")).alias("score"))
-    for _ in range(rounds):
-        value = edges.join(scores, "pattern").groupBy("value").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(F.col("score") * damp)).alias("vs"))
-        scores = edges.join(value, "value").groupBy("pattern").agg(F.round(F.avg("vs"), 9).alias("score"))
+    edges = C.materialize(edges, "pii-graph")
+    scores = None
+    for _ in range(rounds + 1):
+        # the first time only seeds are known
+        now = edges.join(scores, "pattern", "left") if scores is not None else edges.withColumn("score", F.lit(None).cast("double"))
+        value = now.groupBy("value").agg(
+            F.max(F.when(F.col("seed"), 1.0).otherwise(F.coalesce(F.col("score") * damp, F.lit(0.0)))).alias("vs"),
+            F.max(F.col("seed") | (F.coalesce("score", F.lit(0.0)) >= confident)).alias("known"),
+        )
+        scores = (
+            edges.join(value, "value").groupBy("pattern").agg(F.round(F.avg("vs"), 9).alias("score"), F.sum(F.col("known").cast("long")).alias("support"))
+            .where(F.col("support") >= least).select("pattern", "score")
+        )
     return scores.where(F.col("score") >= confident)
 
 
