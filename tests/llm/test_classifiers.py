@@ -62,6 +62,24 @@ def test_toxicity_finds_words(spark):
     assert got[1] >= 0.5 > got[2] and got[3] == got[4] < 0.5
 
 
+def test_toxicity_finds_combinations_of_harmless_words(spark):
+    """Groups and mild insults as frequent in clean texts as in toxic ones; only matching ones are toxic together."""
+    import random
+
+    rng, texts = random.Random(4), []
+    for i in range(600):
+        toxic, k = i % 3 == 0, rng.randrange(2)
+        words = [f"w{rng.randrange(2000)}" for _ in range(rng.randint(5, 40))]
+        words.insert(rng.randrange(len(words)), ("group", "people")[k])
+        words.insert(rng.randrange(len(words)), ("pests", "fools")[k if toxic else 1 - k])
+        texts.append((i, " ".join(words), int(toxic)))
+    d = spark.createDataFrame([r[:2] for r in texts], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, 1, y) for i, _, y in texts], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: (r["s"], r["h"]) for r in toxicity.score(d, toxicity.fit(d, lab), "s").withColumn("h", common.held_out(toxicity.MOD, toxicity.REM)).collect()}
+    held = [(got[i][0] >= 0.5, y == 1) for i, _, y in texts if got[i][1]]
+    assert len(held) > 80 and sum(a == b for a, b in held) >= 0.95 * len(held)
+
+
 def test_toxicity_odd_rows(spark, odd, labels, none):
     model = toxicity.fit(odd, labels, bound=10)
     got = toxicity.score(odd, model, "s").collect()

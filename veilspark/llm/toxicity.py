@@ -5,9 +5,10 @@ bytes of longer words, hashed to ``2**bits`` columns. The score is the logistic
 
     w0 + sum_j w_j x_j + 1/2 sum_f [ (sum_j v_jf x_j)^2 - sum_j v_jf^2 x_j^2 ]
 
-so a pair of terms (an insult and a group mentioned) weighs more or less than the two alone. A term takes part if the
-sample has it in ``least`` documents and its shares in the classes differ by ``differ`` standard errors, and counts the
-more the further they differ (x_j, at most 1).
+so a pair of terms (an insult and a group mentioned) weighs more or less than the two alone. Every term that the sample
+has in ``least`` documents takes part, with an x_j of FLOOR at least and 1 at most: it counts the more the further its
+shares in the classes differ, or those of documents that hold it together with another term, if the pair says clearly
+more than either of the two.
 The model is fitted on the driver by AdaGrad over a bounded sample; what is broadcast is ``2**bits * (2 + factors)``
 float32 values, whatever the input.
 
@@ -27,6 +28,8 @@ from . import common as C
 from . import textops as X
 
 MOD, REM, THRESHOLD = 5, 0, 0.5
+#: x of a term that tells nothing by itself or in a pair.
+FLOOR = 0.05
 U = np.uint64
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
@@ -70,6 +73,54 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _root_g(c1, c0, n1: float, n0: float):
+    """Square root of the likelihood ratio of counts in the classes against equal shares."""
+    n, c = n1 + n0, c1 + c0
+    g = 0.0
+    for a, e in ((c1, c * (n1 / n)), (c0, c * (n0 / n)), (n1 - c1, (n - c) * (n1 / n)), (n0 - c0, (n - c) * (n0 / n))):
+        g = g + a * np.log(np.maximum(a, 1e-9) / np.maximum(e, 1e-9))
+    return np.sqrt(np.maximum(2 * g, 0))
+
+
+def paired(docs: list[np.ndarray], y: np.ndarray, size: int, least: int, strong: float = 8.0, more: float = 3.0, block: int = 1024) -> np.ndarray:
+    """Each term's largest root of G over the pairs that it is in and that exceed ``strong``, and both terms by ``more``.
+
+    Terms too rare to reach ``strong`` in any pair are left out of the counts, which loses nothing.
+    """
+    n1 = float(y.sum())
+    n0 = len(y) - n1
+    few = np.arange(1.0, min(n1, n0) + 1)
+    least = max(least, 1 + int((_root_g(few, 0 * few, min(n1, n0), max(n1, n0)) < strong).sum()))
+    flat, row = np.concatenate(docs), np.repeat(np.arange(len(docs)), [len(t) for t in docs])
+    ids = np.flatnonzero(np.bincount(flat, minlength=size) >= least)
+    col = np.full(size, -1)
+    col[ids] = np.arange(len(ids))
+    row, flat = row[col[flat] >= 0], col[flat[col[flat] >= 0]]
+    order = np.argsort(-y, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    m = np.zeros((len(docs), len(ids)), bool)
+    m[place[row], flat] = True
+    k = int(n1)
+    one = _root_g(m[:k].sum(0).astype(float), m[k:].sum(0).astype(float), n1, n0)
+    best = np.zeros(len(ids))
+    for lo in range(0, len(ids), block):
+        a = m[:, lo : lo + block].astype(np.float32)
+        for at in range(lo, len(ids), block):
+            b = m[:, at : at + block].astype(np.float32)
+            c1, c0 = a[:k].T @ b[:k], a[k:].T @ b[k:]
+            c = c1 + c0
+            i, j = np.nonzero((c1 * n0 - c0 * n1) ** 2 * len(y) * 3 >= strong**2 * n1 * n0 * c * (len(y) - c) + 1)
+            z = _root_g(c1[i, j].astype(float), c0[i, j].astype(float), n1, n0)
+            i, j = i + lo, j + at
+            ok = (z >= strong) & (z >= np.maximum(one[i], one[j]) + more)
+            np.maximum.at(best, i[ok], z[ok])
+            np.maximum.at(best, j[ok], z[ok])
+    out = np.zeros(size)
+    out[ids] = best
+    return out
+
+
 def train(docs: list[np.ndarray], y: np.ndarray, bits: int, factors: int, epochs: int, least: int, differ: float, rate: float, decay: float, seed: int) -> Model:
     """docs: each document's distinct terms. Classes weigh the same in the loss; w0 is then put back to their shares."""
     size = 1 << bits
@@ -79,7 +130,8 @@ def train(docs: list[np.ndarray], y: np.ndarray, bits: int, factors: int, epochs
     p1, p0 = toxic / n1, (seen - toxic) / (len(y) - n1)
     p = np.clip(seen / len(y), 1e-9, 1 - 1e-9)
     z = np.abs(p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / (len(y) - n1)))
-    x = np.where((seen >= least) & (z >= differ), np.minimum(1.0, z / 8), 0.0).astype(np.float32)
+    strength = np.maximum(np.where(z >= differ, z, 0.0), paired(docs, y, size, least))
+    x = np.where(seen >= least, np.clip(strength / 8, FLOOR, 1.0), 0.0).astype(np.float32)
     rng = np.random.default_rng(seed)
     w, v, w0 = np.zeros(size, np.float32), (rng.standard_normal((factors, size)) * 0.01).astype(np.float32), 0.0
     gw, gv, g0 = np.full(size, 1e-6, np.float32), np.full((factors, size), 1e-6, np.float32), 1e-6
