@@ -91,6 +91,28 @@ def test_packing_pieces(spark, odd, none, tok):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_deals_rare_sources(spark):
+    """With more sources than queues every window keeps every source's share; a target for a rare source counts."""
+    rows = [(i, "word and more " * (6 if i % 300 else 8), f"s{i % 300}") for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for targets in (None, {"s7": 0.25}):
+        got = packing.pack(df, size=1024, targets=targets).collect()
+        seqs, by = defaultdict(list), defaultdict(Counter)
+        for r in got:
+            seqs[r["sequence_id"]].append((r["offset"], r["length"]))
+            by[r["sequence_id"]][rows[r["doc_id"]][2]] += r["length"]
+        total = sum(r["length"] for r in got)
+        assert sorted(seqs) == list(range(-(-total // 1024)))
+        for k, x in seqs.items():
+            ends = np.cumsum([n for _, n in sorted(x)])
+            assert [o for o, _ in sorted(x)] == [0, *ends[:-1].tolist()] and (ends[-1] == 1024 or k == len(seqs) - 1)
+        if targets is None:
+            share = {s: sum(by[k][s] for k in by) / total for s in by[0]}
+            assert all(abs(by[k][s] - 1024 * share[s]) <= 4 for k in range(len(seqs) - 1) for s in share) and len(share) == 300
+        else:
+            assert by[0]["s7"] >= 60
+
+
 def brute_jaccard(rows, n, num):
     sets = []
     for i, t in rows:

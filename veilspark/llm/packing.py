@@ -9,10 +9,13 @@ window needs to see another.
 
 1. Texts are encoded once and written with their token offsets inside (partition, source).
 2. Sums a (partition, source) give each pair's place in its queue, by windows over those sums, never over documents.
-   Sources with a share under ``1 / 256`` queue together, so that at most 256 totals come to the driver.
+   Sources with a share under ``1 / 256`` that no target names share one queue at the driver, so that at most 256 totals
+   come there. Inside it every source is a queue again: a binary tree over the sources, kept in a table, deals the shared
+   queue's places out in pairs (the left one has given floor(x * L / (L + R)) of the first x), also in closed form.
 3. The driver lays out phases (at most two a queue); the written rows join their places and are cut.
 
-Targets are shares by source; without them the sources' own shares, so that all queues run dry together and only the very
+Targets are shares by source, sources without one share what is left in proportion; a share counts as two tokens a window
+at least, and size / 4 sources can be named. Without targets the sources' own shares, so that all queues run dry together and only the very
 last window is padded. Defined results: null text is empty, its document is the end token alone; a null source queues
 as ''; repeated rows are packed each; an empty table gives no pieces. Ties have no part: queues run in input order.
 """
@@ -20,6 +23,7 @@ as ''; repeated rows are packed each; an empty table gives no pieces. Ties have
 from __future__ import annotations
 
 import bisect
+import itertools
 import json
 import zlib
 from fractions import Fraction
@@ -100,7 +104,7 @@ def phases(totals: list[int], weights: list[Fraction], size: int) -> list[tuple[
     left, used, out, at = list(totals), [0] * len(totals), [], 0
     while sum(left):
         live = [i for i, r in enumerate(left) if r]
-        raw = {i: max(Fraction(weights[i]), Fraction(1, QUEUES) * sum(weights[j] for j in live), Fraction(1, size)) for i in live}
+        raw = {i: max(Fraction(weights[i]), Fraction(2, size) * sum(weights[j] for j in live), Fraction(1, size)) for i in live}
         share = {i: w / sum(raw.values()) for i, w in raw.items()}
         n = [0] * len(left)
         if sum(left) <= size:
@@ -151,6 +155,36 @@ class Cutter:
             a = stop
 
 
+def paths(whole: DataFrame) -> DataFrame:
+    """src, path: from a source's leaf up, whether it is the right one of two, and the tokens of it and of the other."""
+    rows = C.materialize(whole.withColumn("bucket", F.pmod(F.xxhash64("src"), F.lit(1024))).withColumn("one", F.lit(1)), "packing-tail")
+    base = C.running_base(rows.groupBy("bucket").agg(F.count("*").alias("c")).withColumn("all_", F.lit(0)), ["all_"], "bucket", "c", "base")
+    ranks = C.running_base(rows, ["bucket"], "src", "one", "inner").join(base.select("bucket", "base"), "bucket").select("src", "n", (F.col("base") + F.col("inner")).alias("rank"))
+    depth = max(0, rows.count() - 1).bit_length()
+    if not depth:
+        return ranks.select("src", F.expr("cast(array() AS array<struct<k:int,right:boolean,own:bigint,other:bigint>>)").alias("path"))
+    ranks = C.materialize(ranks, "packing-ranks")
+    at = ranks.select("src", "n", "rank", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("k")).withColumn("node", F.expr("shiftright(rank, k)"))
+    sums = C.materialize(at.groupBy("k", "node").agg(F.sum("n").alias("own")), "packing-nodes")
+    other = sums.select("k", F.col("node").bitwiseXOR(F.lit(1)).alias("node"), F.col("own").alias("other"))
+    both = sums.join(other, ["k", "node"], "left").na.fill({"other": 0})
+    step = F.struct("k", (F.col("node") % 2 == 1).alias("right"), "own", "other")
+    return at.join(both, ["k", "node"]).groupBy("src").agg(F.sort_array(F.collect_list(step)).alias("path"))
+
+
+def climb(path, a: int, b: int):
+    """(token, tokens, place) of a source's tokens a to b in the shared queue."""
+    total = max((s["own"] + s["other"] for s in path), default=0)
+    t = np.arange(a, b, dtype=np.int64 if (total + 1) ** 2 < 1 << 62 else object)
+    for s in path:
+        if s["other"]:
+            own, pair = s["own"], s["own"] + s["other"]
+            t = t * pair // own if s["right"] else -(-(t + 1) * pair // own) - 1
+    cut = [0, *(np.flatnonzero((t[1:] - t[:-1]) != 1) + 1).tolist(), b - a]
+    for lo, hi in zip(cut, cut[1:]):
+        yield a + lo, hi - lo, int(t[lo])
+
+
 def pack(docs: DataFrame, size: int = SIZE, targets: dict[str, float] | None = None, path: str | None = None) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (as 32-bit integers)."""
     spark = docs.sparkSession
@@ -158,20 +192,28 @@ def pack(docs: DataFrame, size: int = SIZE, targets: dict[str, float] | None = N
     sums = C.materialize(rows.groupBy("part", "src").agg(F.sum("n").alias("n")), "packing-sums")
     all_n = sums.agg(F.sum("n")).first()[0] or 0
     whole = sums.groupBy("src").agg(F.sum("n").alias("n"))
-    large = {r["src"]: r["n"] for r in whole.where(F.col("n") >= max(1, -(-all_n // QUEUES))).collect()}
+    limit, named = max(1, min(QUEUES, size // 4)), sorted(targets or {})
+    if len(named) > size // 4:
+        raise ValueError(f"at most {size // 4} sources can be named in windows of {size} tokens")
+    own = F.col("src").isin(named) if targets is not None else F.col("n") >= max(1, -(-all_n // limit))
+    large = {r["src"]: r["n"] for r in whole.where(own).collect()}
+    if targets is None:
+        # what is left over gives two tokens a window, or takes the smallest queue in
+        while large and 0 < all_n - sum(large.values()) < -(-2 * all_n // size):
+            large.pop(min(large, key=lambda s: (large[s], s)))
     names = sorted(large)
     totals = [large[s] for s in names] + [all_n - sum(large.values())]
     if targets is None:
         weights = [Fraction(t) for t in totals]
     else:
-        weights = [Fraction(str(targets.get(s, 0))) for s in names]
+        weights = [Fraction(str(targets[s])) for s in names]
         weights.append(max(Fraction(0), 1 - sum(weights)))
     tail = len(names)
     queue = spark.createDataFrame([(s, i) for i, s in enumerate(names)], "src string, queue int")
     sums = sums.join(F.broadcast(queue), "src", "left").na.fill({"queue": tail})
-    base = C.running_base(sums.groupBy("queue", "part").agg(F.sum("n").alias("n")), ["queue"], "part", "n", "base").drop("n")
-    inner = C.running_base(sums, ["queue", "part"], "src", "n", "inner").drop("n")
-    places = inner.join(base, ["queue", "part"]).select("part", "src", "queue", (F.col("base") + F.col("inner")).alias("base"))
+    places = C.running_base(sums, ["src"], "part", "n", "base").select("part", "src", "queue", "base")
+    if totals[tail]:
+        places = places.join(paths(whole.join(F.broadcast(queue), "src", "left_anti")), "src", "left")
     shared = spark.sparkContext.broadcast(Cutter(phases(totals, weights, size)))
     wide = 2 if _small(path) else 4
 
@@ -179,15 +221,17 @@ def pack(docs: DataFrame, size: int = SIZE, targets: dict[str, float] | None = N
         cutter = shared.value
         for b in batches:
             out = [[] for _ in range(8)]
-            for doc, n, ids, a, q in zip(b.column("doc_id").to_pylist(), b.column("n").to_pylist(), b.column("ids").to_pylist(), b.column("a").to_pylist(), b.column("queue").to_pylist()):
+            for doc, n, ids, a, q, path in zip(*[b.column(c).to_pylist() for c in ("doc_id", "n", "ids", "a", "queue")], b.column("path").to_pylist() if "path" in b.schema.names else itertools.repeat(None)):
                 x = np.frombuffer(ids, f"<u{wide}").astype("<u4").tobytes()
-                for at, length, window, place in cutter.pieces(q, a, a + n):
-                    piece = x[(at - a) * 4 : (at - a + length) * 4]
-                    for col, v in zip(out, (doc, at - a, length, zlib.crc32(piece), n, window, place, piece)):
-                        col.append(v)
+                for t, many, first in climb(path, a, a + n) if path else [(a, n, a)]:
+                    for at, length, window, place in cutter.pieces(q, first, first + many):
+                        begin = t - a + at - first
+                        piece = x[begin * 4 : (begin + length) * 4]
+                        for col, v in zip(out, (doc, begin, length, zlib.crc32(piece), n, window, place, piece)):
+                            col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out[:7]] + [pa.array(out[7], pa.binary())], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    placed = rows.join(places, ["part", "src"]).select("doc_id", "n", "ids", (F.col("base") + F.col("at")).alias("a"), "queue")
+    placed = rows.join(places, ["part", "src"]).select("doc_id", "n", "ids", (F.col("base") + F.col("at")).alias("a"), "queue", *[c for c in places.columns if c == "path"])
     return placed.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
