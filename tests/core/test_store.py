@@ -115,3 +115,10 @@ def test_mask_finds_runs_inside_words(spark):
     pairs = spark.createDataFrame([("s", "40702810", "RS_1"), ("s", "044", "BIK_1"), ("s", "12", "N_1"), ("s", "Вектор", "YUL_1")], "session_id string, value string, token string")
     assert masking.mask(docs, pairs).first()["masked"] == "No[RS_1] и БИК[BIK_1],7a x[N_1] «[YUL_1]» Векторы"
     assert {r["value"] for r in masking.leaks(docs, pairs).collect()} == {"40702810", "044", "12", "Вектор"}
+
+
+def test_leaks_are_not_capped(spark):
+    values = [f"u{i}@a.com" for i in range(250)]
+    docs = spark.createDataFrame([("s", 1, " ".join(values))], "session_id string, doc_id long, text string")
+    pairs = spark.createDataFrame([("s", v) for v in values], "session_id string, value string")
+    assert masking.leaks(docs, pairs).count() == 250 and masking.leaks(docs, pairs, limit=200).count() == 200

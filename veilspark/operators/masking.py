@@ -134,8 +134,8 @@ def aliases_resolved(aliases: DataFrame, rounds: int = 20) -> DataFrame:
     return now
 
 
-def leaks(outputs: DataFrame, originals: DataFrame, limit: int = 200) -> DataFrame:
-    """(doc_id, value): values of the session that a document's output still holds, bounded as in masking; at most ``limit`` a document.
+def leaks(outputs: DataFrame, originals: DataFrame, limit: int | None = None) -> DataFrame:
+    """(doc_id, value): values of the session that a document's output still holds, bounded as in masking; at most ``limit`` a document if given, for display.
 
     outputs: session_id, doc_id, text; originals: session_id, value. Candidates meet on the value's first word.
     """
@@ -149,6 +149,8 @@ def leaks(outputs: DataFrame, originals: DataFrame, limit: int = 200) -> DataFra
     pre = F.when(first.rlike("[0-9]"), "(?<![0-9])").when(first.rlike(r"(?U)\w"), r"(?<!\w)").otherwise("")
     post = F.when(last.rlike("[0-9]"), "(?![0-9])").when(last.rlike(r"(?U)\w"), r"(?!\w)").otherwise("")
     hit = cand.where(F.regexp_like("text", F.concat(F.lit("(?U)"), pre, quoted, post))).select("doc_id", "value").distinct()
+    if limit is None:
+        return hit
     w = Window.partitionBy("doc_id").orderBy("value")
     return hit.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit).drop("rn")
 
