@@ -6,10 +6,11 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from veilspark.llm import bpe, jaccard, packing, pii, shards
+from veilspark.llm import bpe, jaccard, packing, pii, shards, textops, wordids
 
 
 @pytest.fixture(scope="module")
@@ -29,12 +30,35 @@ def test_bpe_equals_library(tok):
         assert codec.decode(raw) == tok.decode(ids, skip_special_tokens=False)
 
 
-def test_bpe_store_overflow(monkeypatch, tok):
-    monkeypatch.setattr(bpe, "KEPT", 20)
-    codec = bpe.Codec()
-    for k in range(30):
-        t = " ".join(f"wo{k}rd{i}" for i in range(15))
-        assert np.frombuffer(codec.encode([t])[0], "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+@pytest.mark.parametrize("options", [{"bits": 4, "room": 300}, {"bits": 8, "room": 40}])
+@pytest.mark.parametrize("make", [bpe.Codec, packing.WordCodec])
+def test_word_table_overflow(make, options, tok):
+    """A table far too small for its words gives the same ids and decoded texts."""
+    codec = make()
+    table = wordids.WordTable(codec.learn, codec.cut, list(codec.added), getattr(codec, "spell", None), **options)
+    rng = random.Random(2)
+    texts = [" ".join(f"wo{rng.randrange(90)}rd{i}" for i in range(15)) + rng.choice(["", "<|endoftext|>", " ÀÉ's漢", "'ll'll"]) for _ in range(60)]
+    for limit in (1 << 20, 500):
+        k = 0
+        for slab in textops.slabs(pa.array(texts), limit):
+            ids, cut, shown = table.encode(slab)
+            for d in range(slab.n):
+                want = tok.encode(texts[k], add_special_tokens=False).ids
+                assert ids[cut[d] : cut[d + 1]].tolist() == want
+                if shown:
+                    assert shown[0][shown[1][d] : shown[1][d + 1]].tobytes()[:-1].decode() == tok.decode(want, skip_special_tokens=False)
+                k += 1
+
+
+def test_op6_query_equals_library(spark, sf, tok):
+    got = {r["doc_id"]: r for r in bpe.op6_trie_bpe(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert len(got) == len(docs)
+    for r in docs:
+        ids = tok.encode(r["text"] or "", add_special_tokens=False).ids
+        g = got[r["doc_id"]]
+        assert g["n_tokens"] == len(ids) and g["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert g["decoded_sha256"] == hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
 def test_bpe_odd_rows(spark, odd, none, tok):

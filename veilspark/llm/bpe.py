@@ -4,7 +4,7 @@ The distinct new words of a batch, sorted, are a trie in depth-first order. Ever
 its prefix's encoding; a prefix shared by many words is worked out once. A token ends a prefix's encoding if it stands
 where the prefix ends, is its own encoding, and forms a stable pair with the last token of the prefix before it: no merge
 across the border would come before the merges that build the two. Exactly one token does, and following last tokens
-backwards from a word's end gives its ids. Words already seen by a worker are kept, up to ``KEPT``.
+backwards from a word's end gives its ids. A worker keeps words' ids, and what they decode to, in a table of bounded size.
 
 The tokenizer is read from its JSON on each worker: BPE by merge rank, byte-level symbols, an end-of-word suffix; NFC and
 lower case before; tokens of the file's ``added_tokens`` are cut out of the raw text first. Decoding joins the tokens'
@@ -27,10 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import textops as X
+from . import wordids as W
 
 NAME = "word_bpe_49k.json"
 INF = 1 << 60
-KEPT, PAIRS = 600_000, 250_000
+PAIRS = 250_000
 #: Unicode white space
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CUT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
@@ -56,9 +58,6 @@ def byte_symbols() -> list[str]:
 
 
 class Codec:
-    #: How many words are kept.
-    kept: int | None = None
-
     def __init__(self, path: str | None = None):
         with open(path or default_path(), encoding="utf-8") as f:
             spec = json.load(f)
@@ -86,13 +85,11 @@ class Codec:
                 body = t[: self.width[i]]
                 widths[ends].setdefault(body[-3:], set()).add(self.width[i])
         self.sizes = tuple({k: (*sorted(v, reverse=True), 2, 1) for k, v in w.items()} for w in widths)
-        self.raw = {i: int(i).to_bytes(4, "little") for i in self.text}
-        self.table = dict(enumerate(byte_symbols()))
+        self.symbols = dict(enumerate(byte_symbols()))
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.pairs: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
-        self.ids: dict[str, bytes] = {}
-        self.shown: dict[str, bytes] = {}
+        self.table = W.WordTable(self.learn, self.cut, list(self.added), self.spell)
 
     def border(self, left: int, right: int) -> tuple[bool, int]:
         """(no merge crosses the border before both tokens are built, the rank of the merge of the two)."""
@@ -154,12 +151,13 @@ class Codec:
                 return t
         raise ValueError("a symbol is not in the vocabulary")
 
-    def learn(self, words: list[str]) -> None:
-        """Encode new words: a depth-first walk of their trie."""
-        keyed = sorted((w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table), w) for w in words)
+    def learn(self, words: list[str]) -> list[list[int]]:
+        """The ids of words: a depth-first walk of their trie."""
+        keyed = sorted((w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.symbols), i) for i, w in enumerate(words) if w not in self.added)
+        ids: list[list[int]] = [[self.added.get(w, -1)] for w in words]
         last: list[int] = [-1]
         before = ""
-        for key, word in keyed:
+        for key, place in keyed:
             n = len(key)
             same = 0
             top = min(len(last) - 1, n - 1)
@@ -176,9 +174,13 @@ class Codec:
                     break
                 t = last[at]
             out.reverse()
-            self.ids[word] = b"".join([self.raw[t] for t in out])
-            self.shown[word] = " ".join([self.text[t] for t in out]).encode()
+            ids[place] = out
             before = key
+        return ids
+
+    def spell(self, ids: list[int]) -> bytes:
+        """What ids decode to, each token's string followed by a blank."""
+        return "".join([self.text[i] + " " for i in ids]).encode()
 
     def cut(self, text: str) -> list[str]:
         """Words in order, and added tokens; none of them is a word, for a word doesn't mix letters and signs."""
@@ -198,25 +200,14 @@ class Codec:
         text = text.lower()
         return (CUT if RARE.search(text) else PLAIN).findall(text)
 
-    def batch(self, texts: list[str | None]) -> list[list[str]]:
-        """The words of each text, all of them known until the next batch. The store is emptied when it would grow too large."""
-        cut = [self.cut(t) if t else [] for t in texts]
-        new: set[str] = set()
-        for words in cut:
-            new.update(words)
-        if self.ids and len(self.ids) + len(new) > (self.kept or KEPT):
-            self.ids.clear()
-            self.shown.clear()
-        new = {w for w in new if w not in self.ids}
-        for w in new & self.added.keys():
-            self.ids[w], self.shown[w] = np.array([self.added[w]], "<u4").tobytes(), w.encode()
-        self.learn([w for w in new if w not in self.added])
-        return cut
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        cut = self.batch(texts)
-        return [b"".join([self.ids[w] for w in words]) for words in cut]
+        out = []
+        for slab in X.slabs(pa.array(texts, pa.string())):
+            ids, cut, _ = self.table.encode(slab)
+            raw = ids.tobytes()
+            out += [raw[4 * a : 4 * b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        return out
 
     def decode(self, ids: bytes) -> str:
         return " ".join([self.text[i] for i in np.frombuffer(ids, "<u4").tolist()])
@@ -232,34 +223,22 @@ def codec(path: str | None = None) -> Codec:
     return _codecs[key]
 
 
-def parts(column: pa.Array, size: int = 2 << 20):
-    """The texts of a column in lists of about ``size`` characters."""
-    out, held = [], 0
-    for t in column:
-        t = t.as_py()
-        out.append(t)
-        held += len(t or "")
-        if held >= size:
-            yield out
-            out, held = [], 0
-    if out:
-        yield out
-
-
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; one narrow pass, no shuffle."""
 
     def run(batches):
-        c = codec(path)
+        table = codec(path).table
         for b in batches:
-            n, ids, shown = [], [], []
-            for texts in parts(b.column("text")):
-                for words in c.batch(texts):
-                    raw = b"".join([c.ids[w] for w in words])
-                    n.append(len(raw) // 4)
-                    ids.append(hashlib.sha256(raw).hexdigest())
-                    shown.append(hashlib.sha256(b" ".join([c.shown[w] for w in words])).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(shown, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            n, ids, shown = [np.zeros(0, np.int64)], [], []
+            for slab in X.slabs(b.column("text")):
+                flat, cut, (said, spoken) = table.encode(slab)
+                raw, words = memoryview(flat.tobytes()), memoryview(said.tobytes())
+                n.append(np.diff(cut))
+                ids += [hashlib.sha256(raw[4 * i : 4 * j]).hexdigest() for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
+                # the last token's blank isn't part of the text
+                shown += [hashlib.sha256(words[i : max(i, j - 1)]).hexdigest() for i, j in zip(spoken[:-1].tolist(), spoken[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.concatenate(n)), pa.array(ids, pa.string()), pa.array(shown, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        X.release()
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -36,34 +36,46 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from . import common as C
+from . import textops as X
+from . import wordids as W
 
 SIZE, END, QUEUES = 4096, 2, 256
 
 
-class WordCodec(bpe.Codec):
+class WordCodec:
     """Ids by the tokenizers library, a distinct word once: new words are encoded as one text and parted at the tokens
     that end a word."""
 
-    kept = 400_000
-
     def __init__(self, path: str | None = None):
         from tokenizers import Tokenizer
 
-        super().__init__(path)
-        self.library = Tokenizer.from_file(path or bpe.default_path())
-        self.ends = np.array([self.text.get(i, "").endswith(self.suffix) for i in range(self.top)])
-        self.kind = "<u2" if self.top <= 65536 else "<u4"
-
-    def learn(self, words: list[str]) -> None:
+        self.path = path or bpe.default_path()
+        self.library = Tokenizer.from_file(self.path)
+        with open(self.path, encoding="utf-8") as f:
+            spec = json.load(f)
+        added, suffix = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}, spec["model"].get("end_of_word_suffix") or ""
+        text = {i: t for t, i in spec["model"]["vocab"].items()}
+        top = max(max(text), *added.values()) + 1 if added else max(text) + 1
+        self.ends = np.array([suffix != "" and text.get(i, "").endswith(suffix) for i in range(top)])
+        self.kind, self.added, self.slow = "<u2" if top <= 65536 else "<u4", added, None
+        self.table = W.WordTable(self.learn, self.cut, list(added), kind=self.kind)
+
+    def cut(self, text: str) -> list[str]:
+        self.slow = self.slow or bpe.Codec(self.path)
+        return self.slow.cut(text)
+
+    def learn(self, words: list[str]) -> list[list[int]]:
+        out = []
         for lo in range(0, len(words), 20_000):
             part = words[lo : lo + 20_000]
-            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            cut = np.flatnonzero(self.ends[ids]) + 1 if self.suffix else []
-            if len(cut) != len(part):
-                super().learn(part)
-                continue
-            raw = ids.tobytes()
-            self.ids.update(zip(part, [raw[a:b] for a, b in zip([0, *(cut[:-1] * 4).tolist()], (cut * 4).tolist())]))
+            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, np.int64)
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(part) and cut[-1] == len(ids):
+                ids = ids.tolist()
+                out += [ids[a:b] for a, b in zip([0, *cut[:-1].tolist()], cut.tolist())]
+            else:
+                out += [self.library.encode(w, add_special_tokens=False).ids for w in part]
+        return out
 
 
 _codecs: dict[str, WordCodec] = {}
@@ -80,20 +92,17 @@ def encoded(docs: DataFrame, path: str | None = None, end: int = END) -> DataFra
     """doc_id, src, n, ids, part, at: ``at`` counts the source's tokens before the document in its partition."""
 
     def run(batches):
-        c, part, given = codec(path), TaskContext.get().partitionId(), {}
+        table, part, given = codec(path).table, TaskContext.get().partitionId(), {}
         for b in batches:
-            lo = 0
-            for texts in bpe.parts(b.column("text")):
-                src = b.column("src").slice(lo, len(texts)).to_pylist()
-                n, ids, at = [], [], []
-                for raw, s in zip(c.encode(texts), src):
-                    x = np.frombuffer(raw, "<u4").astype(c.kind)
-                    n.append(len(x) + 1)
-                    ids.append(x.tobytes() + np.array([end], c.kind).tobytes())
-                    at.append(given.get(s, 0))
-                    given[s] = at[-1] + n[-1]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, len(texts)), b.column("src").slice(lo, len(texts)), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array([part] * len(n), pa.int32()), pa.array(at, pa.int64())], names=["doc_id", "src", "n", "ids", "part", "at"])
-                lo += len(texts)
+            for slab in X.slabs(b.column("text")):
+                ids, cut, _ = table.encode(slab, end)
+                n, src, at = np.diff(cut), b.column("src").slice(slab.first, slab.n), []
+                for s, k in zip(src.to_pylist(), n.tolist()):
+                    x = given.get(s, 0)
+                    at.append(x)
+                    given[s] = x + k
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(slab.first, slab.n), src, pa.array(n), W.binary(ids, cut), pa.array([part] * slab.n, pa.int32()), pa.array(at, pa.int64())], names=["doc_id", "src", "n", "ids", "part", "at"])
+        X.release()
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("src"))
     return rows.mapInArrow(run, "doc_id long, src string, n long, ids binary, part int, at long")
@@ -215,15 +224,14 @@ def pack(docs: DataFrame, size: int = SIZE, targets: dict[str, float] | None = N
     if totals[tail]:
         places = places.join(paths(whole.join(F.broadcast(queue), "src", "left_anti")), "src", "left")
     shared = spark.sparkContext.broadcast(Cutter(phases(totals, weights, size)))
-    wide = 2 if _small(path) else 4
 
     def run(batches):
-        cutter = shared.value
+        cutter, kind = shared.value, codec(path).kind
         for b in batches:
             out = [[] for _ in range(8)]
-            for doc, n, ids, a, q, path in zip(*[b.column(c).to_pylist() for c in ("doc_id", "n", "ids", "a", "queue")], b.column("path").to_pylist() if "path" in b.schema.names else itertools.repeat(None)):
-                x = np.frombuffer(ids, f"<u{wide}").astype("<u4").tobytes()
-                for t, many, first in climb(path, a, a + n) if path else [(a, n, a)]:
+            for doc, n, ids, a, q, steps in zip(*[b.column(c).to_pylist() for c in ("doc_id", "n", "ids", "a", "queue")], b.column("path").to_pylist() if "path" in b.schema.names else itertools.repeat(None)):
+                x = np.frombuffer(ids, kind).astype("<u4").tobytes()
+                for t, many, first in climb(steps, a, a + n) if steps else [(a, n, a)]:
                     for at, length, window, place in cutter.pieces(q, first, first + many):
                         begin = t - a + at - first
                         piece = x[begin * 4 : (begin + length) * 4]
@@ -235,11 +243,5 @@ def pack(docs: DataFrame, size: int = SIZE, targets: dict[str, float] | None = N
     return placed.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
-def _small(path: str | None) -> bool:
-    with open(path or bpe.default_path(), encoding="utf-8") as f:
-        spec = json.load(f)
-    return max(*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", []))) < 65536
-
-
 def op2_packing_drr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(C.table(spark, sf_dir, "documents")).drop("ids")

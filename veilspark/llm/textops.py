@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,5 +95,14 @@ def slabs(texts: pa.Array, limit: int = SLAB) -> Iterator[Slab]:
         i = j
 
 
+def release() -> None:
+    """Give memory that a task no longer uses back to the system, so that idle workers of an executor hold little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def append(batch: pa.RecordBatch, schema: pa.Schema | None = None, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *cols.values()], names=[*batch.schema.names, *cols])
