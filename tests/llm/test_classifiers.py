@@ -1,6 +1,11 @@
+import random
+import re
 import zlib
 
-from veilspark.llm import common, langid, quality, toxicity
+import numpy as np
+import pyarrow as pa
+
+from veilspark.llm import common, langid, quality, textops, toxicity
 
 
 def rows(df):
@@ -88,21 +93,78 @@ def test_toxicity_odd_rows(spark, odd, labels, none):
     assert all(r["s"] < 1e-6 for r in toxicity.score(odd, toxicity.fit(none, labels), "s").collect())
 
 
-def brute_phrases(text, word):
-    n = at = 0
-    while at < len(word):
-        size = 1
-        while at + size < len(word) and word[at : at + size + 1] in text:
-            size += 1
-        n, at = n + 1, at + size
+def brute_phrases(sample, text):
+    """Phrases of the cleaned text: longest substrings of the sample, ended at block ends."""
+    t = re.sub(rb"[ \t\n\v\f\r]+", b" ", bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode()))
+    t = t and (b"" if t[:1] == b" " else b" ") + t + (b"" if t[-1:] == b" " else b" ")
+    n = 0
+    for lo in range(0, len(t), langid.BLOCK):
+        w, at = t[lo : lo + langid.BLOCK], 0
+        while at < len(w):
+            size = 1
+            while at + size < len(w) and w[at : at + size + 1] in sample:
+                size += 1
+            n, at = n + 1, at + size
     return n
 
 
-def test_automaton_against_substring_search():
-    text = b" the cat sat on the mat that the rat ate "
-    go, _ = langid.automaton(text)
-    for word in (b" the ", b" cathat ", b" zzz ", b"", b" matrate ", b"atatat", b"xthe"):
-        assert langid.phrases(go, word) == brute_phrases(text, word), word
+def brute_language(sample, text):
+    cost = {k: brute_phrases(v, text) * (8 + np.log2(len(v) + 1)) for k, v in sample.items()}
+    a, b = sorted((c, k) for k, c in cost.items())[:2]
+    return a[1], b[0] / max(a[0] + b[0], 1)
+
+
+def test_cross_parse_against_substring_search():
+    rng = random.Random(1)
+    sample = {k: bytes(rng.choice(a) for _ in range(300)) for k, a in (("a", b"abc "), ("b", b"bcd "), ("c", b"xyzab "))}
+    parser = langid.Parser(sample)
+    texts = ["", None, "A  b", " ", "abc", "qqq", "  a\n\nb ", "é"] + ["".join(rng.choice("abcdxyz Q ") for _ in range(rng.randint(0, 3000))) for _ in range(40)]
+    for limit in (1 << 20, 4000):
+        got = np.concatenate([parser.counts(s) for s in textops.slabs(pa.array(texts), limit)])
+        assert got.tolist() == [[brute_phrases(sample[k], t) for k in "abc"] for t in texts]
+
+
+def test_language_query_against_brute_force(spark, sf):
+    docs = common.table(spark, sf, "documents")
+    rows = docs.collect()
+    for options, few in (({"chars": 2500}, rows), ({}, [r for r in rows if r["text"] and len(r["text"]) < 300][:40])):
+        sample = langid.fit(docs, **options)
+        got = langid.predict(docs, sample, "p", "s") if options else langid.op7_language_crossparse(spark, sf).withColumnsRenamed({"lang_pred": "p", "score": "s"})
+        got = {r["doc_id"]: (r["p"], r["s"]) for r in got.collect()}
+        for r in few:
+            if any(c.isalpha() for c in r["text"] or ""):
+                want = brute_language(sample, r["text"])
+                assert got[r["doc_id"]][0] == want[0] and abs(got[r["doc_id"]][1] - want[1]) < 1e-9
+            else:
+                assert got[r["doc_id"]] == ("und", 0.0)
+
+
+def test_language_sample_keeps_to_the_contract(spark):
+    """Held-out rows, null texts and null languages teach nothing, whatever shares their id; an id teaches once."""
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]
+    free = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(i, "zzheldout " * 5, "en") for i in held[:50]] + [(i, f"english words here {i}", "en") for i in free[:40]] + [(free[0], None, "en"), (free[1], "zznolang text", None), (None, "zznoid", "en")]
+    rows += [(free[50], "mots en francais", "fr")] * 500 + [(free[51], "autre texte", "fr"), (free[51], None, "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = langid.fit(df)
+    assert set(sample) == {"en", "fr"} and b"zz" not in b"".join(sample.values())
+    assert sample["fr"].count(b"mots") == 1 and sample["en"].count(b"english") == 40
+    assert langid.predict(df, sample).count() == len(rows)
+
+
+def test_every_language_is_learned(spark):
+    """65 languages, one of them rare: all are learned, none is cut because of another, and the broadcast is bounded."""
+    words = {f"l{k:02d}": [f"{chr(97 + k % 26)}{chr(97 + k // 26)}{w}" for w in ("ora", "ben", "ti", "sul", "wek", "po")] for k in range(65)}
+    rng, rows = random.Random(3), []
+    for k, (lang, w) in enumerate(words.items()):
+        for i in range(2 if k == 64 else 24):
+            rows.append((len(rows), " ".join(rng.choice(w) for _ in range(30)), lang))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few, many = langid.fit(df.where("lang <> 'l64'"), chars=3000), langid.fit(df, chars=3000)
+    assert len(many) == 65 and all(few[x] == many[x] for x in few)
+    got = langid.predict(df, many, "p", "s").collect()
+    assert sum(r["p"] == r["lang"] for r in got) >= 0.97 * len(got)
+    assert sum(map(len, langid.fit(df, total=6500).values())) <= 6500
 
 
 def test_language_held_out(spark, sf):
@@ -116,3 +178,4 @@ def test_language_odd_rows(spark, odd, none):
     assert got[2]["p"] == got[3]["p"] == got[4]["p"] == "und" and got[2]["s"] == 0
     assert got[5]["p"] == got[6]["p"] == "en"
     assert langid.fit(none) == {} and {r["p"] for r in langid.predict(odd, {}, "p", "s").collect()} == {"und"}
+    assert set(langid.fit(odd)) <= {"en", "fr", "de"} and langid.predict(none, {"en": b" a "}).count() == 0
