@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_written: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or on a local master without one, a temporary folder."""
@@ -26,15 +28,39 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, src: str, dst: str, kind: str = "long") -> DataFrame:
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a table that no frame reads any more, wherever it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete all intermediates that this application wrote; frames that still read them can't be used afterwards."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        drop(spark, path)
+    return len(paths)
+
+
+def _to_least(pairs: DataFrame, total: int, hubs: int) -> DataFrame:
+    """(u, v, m): every row (u, v) with the least v of its u. A u with more than ``2 * total / hubs`` rows meets its
+    least v by broadcast, so its rows stay where they are; there are at most ``hubs`` of them, as rows are ``2 * total`` at most."""
+    low = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hot = F.broadcast(low.where(F.col("n") > 2 * total / hubs).select("u", "m"))
+    return pairs.join(hot, "u").unionByName(pairs.join(hot.select("u"), "u", "left_anti").join(low.select("u", "m"), "u"))
+
+
+def components(edges: DataFrame, src: str, dst: str, kind: str = "long", hubs: int = 1000) -> DataFrame:
     """(node, comp): the smallest node reachable, for every node of an undirected edge list.
 
     Alternating large-star and small-star steps: every step is a min aggregate and an equi-join, written to the shared
-    folder. A hub's join is one that adaptive execution can split. Ends when the list doesn't change.
+    folder; the step before it is deleted. Hubs are joined by broadcast (``_to_least``). Ends when the list doesn't change.
     """
+    spark = edges.sparkSession
     a, b = F.col(src).cast(kind), F.col(dst).cast(kind)
     e = materialize(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "cc")
 
@@ -44,12 +70,12 @@ def components(edges: DataFrame, src: str, dst: str, kind: str = "long") -> Data
     state = mark(e)
     while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        big = both.join(low, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = big.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
+        big = _to_least(both, state[0], hubs).withColumn("m", F.least("m", "u")).where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _to_least(big, state[0], hubs).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
+        old, before = state, _written[spark.sparkContext.applicationId].pop()
         e = materialize(small.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-        state, old = mark(e), state
+        state = mark(e)
+        drop(spark, before)
         if state == old:
             break
     return e.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp").unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
