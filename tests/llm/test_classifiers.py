@@ -90,7 +90,72 @@ def test_toxicity_odd_rows(spark, odd, labels, none):
     got = toxicity.score(odd, model, "s").collect()
     assert len(got) == 11 and all(0 <= r["s"] <= 1 for r in got)
     assert toxicity.score(none, model, "s").count() == 0
-    assert all(r["s"] < 1e-6 for r in toxicity.score(odd, toxicity.fit(none, labels), "s").collect())
+    share = labels.where("toxic is not null and doc_id is not null").where(~common.held_out(toxicity.MOD, toxicity.REM)).toPandas().toxic.mean()
+    assert all(abs(r["s"] - share) < 1e-9 for r in toxicity.score(odd, toxicity.fit(none, labels), "s").collect())
+    assert all(r["s"] == 0 for r in toxicity.score(odd, toxicity.fit(odd, labels.limit(0)), "s").collect())
+    assert all(abs(r["s"] - share) < 1e-9 for r in got if r["doc_id"] in (2, 3, 4))
+
+
+def test_toxicity_query_against_the_formula(spark, sf):
+    """The query's scores are the formula's, pair by pair."""
+    docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    m = toxicity.fit(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.op9_toxicity_fm(spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in sorted(rows, key=lambda r: len(r["text"] or ""))[:120]:
+        slab = next(textops.slabs(pa.array([r["text"] or ""])), None)
+        t = [int(t) for t in toxicity.terms(slab, 17)[1] if m.x[t] > 0] if slab else []
+        z = float(m.w0) + sum(float(m.w[i]) * float(m.x[i]) for i in t)
+        z += sum(float(np.dot(m.v[:, i].astype(float), m.v[:, j].astype(float))) * float(m.x[i]) * float(m.x[j]) for a, i in enumerate(t) for j in t[:a])
+        want = 1 / (1 + np.exp(-z)) if t else m.share
+        assert abs(got[r["doc_id"]] - want) < 1e-3, r["doc_id"]
+
+
+def test_toxicity_xor_of_frequent_words(spark):
+    """Neither word tells anything alone: toxic is exactly one of the two; default options."""
+    rng, texts = random.Random(9), []
+    for i in range(2000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = [f"w{rng.randrange(500)}" for _ in range(8)] + ["alpha"] * a + ["bravo"] * b
+        rng.shuffle(words)
+        texts.append((i, " ".join(words), int(a != b)))
+    d = spark.createDataFrame([r[:2] for r in texts], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, 1, y) for i, _, y in texts], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: (r["s"], r["h"]) for r in toxicity.score(d, toxicity.fit(d, lab), "s").withColumn("h", common.held_out(toxicity.MOD, toxicity.REM)).collect()}
+    held = [(got[i][0] >= 0.5) == (y == 1) for i, _, y in texts if got[i][1]]
+    assert len(held) > 300 and sum(held) >= 0.95 * len(held)
+
+
+def test_quality_query_against_brute_force(spark, sf):
+    """Every score is the vote of the k nearest of all sample vectors, found by sorting."""
+    docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    m = quality.fit(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in quality.op1_quality_knn(spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        slab = next(textops.slabs(pa.array([r["text"] or ""])), None)
+        z = (quality.damped(quality.counts(slab, 2048)) @ m.proj)[0].astype(float) if slab else np.zeros(1)
+        if np.linalg.norm(z) < 1e-9:
+            assert abs(got[r["doc_id"]] - m.prior) < 1e-9
+            continue
+        cos = m.refs.astype(float) @ (z / np.linalg.norm(z))
+        near = sorted(range(len(cos)), key=lambda i: (-cos[i], i))[: m.k]
+        w = [np.exp(m.sharp * (cos[i] - 1)) for i in near]
+        want = sum(a * m.y[i] for a, i in zip(w, near)) / sum(w)
+        edge = sorted(cos)[-m.k - 1 : -m.k + 1]
+        assert abs(got[r["doc_id"]] - want) < 1e-4 or edge[1] - edge[0] < 1e-5, r["doc_id"]
+
+
+def test_samples_keep_their_bound(spark):
+    """An id that stands in many rows is one document of the sample, with its least text and larger label."""
+    d = spark.createDataFrame([(1, f"word{i % 7} text") for i in range(3000)] + [(i, "Some other words.") for i in range(2, 40)], "doc_id long, text string")
+    lab = spark.createDataFrame([(1, 0, 0), (1, 1, 1)] + [(i, i % 2, i % 2) for i in range(2, 40)], "doc_id long, quality int, toxic int")
+    got = common.labelled(d, lab, "quality", 4, 2, 3).collect()
+    assert sorted(r["y"] for r in got) == [0, 0, 0, 1, 1, 1] and len({r["doc_id"] for r in got}) == 6
+    assert all(r["text"] == "word0 text" and r["y"] == 1 for r in got if r["doc_id"] == 1)
+    assert len(quality.fit(d, lab, bound=3).y) <= 6
 
 
 def brute_phrases(sample, text):

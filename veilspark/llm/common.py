@@ -24,18 +24,20 @@ def held_out(mod: int, rem: int, col: str = "doc_id"):
     return F.crc32(F.col(col).cast("string").cast("binary")) % mod == rem
 
 
-def labelled_ids(docs: DataFrame, labels: DataFrame, label: str, mod: int, rem: int, bound: int) -> DataFrame:
-    """(doc_id, y) of at most ``bound`` documents a class outside the held-out fold, chosen by a hash of the id.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, rem: int, bound: int) -> DataFrame:
+    """(doc_id, y, text) of at most ``bound`` documents a class outside the held-out fold, chosen by a hash of the id.
 
-    Only ids are read and shuffled. A document labelled twice counts with its larger label.
+    One row an id: a document labelled twice counts with its larger label, rows that share an id with their least text
+    (null if none has one). Only ids are shuffled until the sample is drawn.
     """
     known = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(mod, rem))
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     )
-    known = known.join(docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct(), "doc_id")
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     parts = [known.where(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound) for v in (0, 1)]
-    return parts[0].unionByName(parts[1])
+    ids = F.broadcast(parts[0].unionByName(parts[1]))
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(ids, "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text"))
 
 
 def running_base(df: DataFrame, group: list[str], order: str, value: str, out: str) -> DataFrame:

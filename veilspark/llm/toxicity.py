@@ -9,11 +9,13 @@ so a pair of terms (an insult and a group mentioned) weighs more or less than th
 has in ``least`` documents takes part, with an x_j of FLOOR at least and 1 at most: it counts the more the further its
 shares in the classes differ, or those of documents that hold it together with another term, if the pair says clearly
 more than either of the two.
-The model is fitted on the driver by AdaGrad over a bounded sample; what is broadcast is ``2**bits * (2 + factors)``
-float32 values, whatever the input.
+The model is fitted on the driver by AdaGrad over a bounded sample of one row an id (the least text, the larger label);
+both classes weigh the same in the loss, so 0.5 is where a text speaks as much for one as for the other. What is broadcast
+is ``2**bits * (2 + factors)`` float32 values, whatever the input.
 
-Defined results: null and empty texts score the logistic of w0; without labels of both classes every score is the share
-of label 1 (0.0 without any label). Repeated rows get equal scores.
+Defined results: null and empty texts, and texts without a term that takes part, score the share of label 1 among all
+labels outside the held-out fold; without labels of both classes every score is that share (0.0 without any label).
+Repeated rows get equal scores; long texts are scored whole; extra columns stay.
 """
 
 from __future__ import annotations
@@ -57,20 +59,22 @@ def terms(slab: X.Slab, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    def __init__(self, w0: float, w, v, x):
-        self.w0, self.w, self.v, self.x = w0, w, v, x
+    def __init__(self, w0: float, w, v, x, share: float = 0.0):
+        self.w0, self.w, self.v, self.x, self.share = w0, w, v, x, share
 
     def scores(self, n: int, doc: np.ndarray, term: np.ndarray) -> np.ndarray:
+        if self.w is None:
+            return np.full(n, self.share)
         z = np.full(n, self.w0, np.float64)
-        if self.w is not None and len(doc):
-            live = self.x[term] > 0
-            doc, term = doc[live], term[live]
+        live = self.x[term] > 0
+        doc, term = doc[live], term[live]
+        if len(doc):
             x = self.x[term]
             z += np.bincount(doc, self.w[term] * x, n)
             for f in range(self.v.shape[0]):
                 a = self.v[f][term] * x
                 z += 0.5 * (np.bincount(doc, a, n) ** 2 - np.bincount(doc, a * a, n))
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return np.where(np.bincount(doc, minlength=n) > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), self.share)
 
 
 def _root_g(c1, c0, n1: float, n0: float):
@@ -121,8 +125,8 @@ def paired(docs: list[np.ndarray], y: np.ndarray, size: int, least: int, strong:
     return out
 
 
-def train(docs: list[np.ndarray], y: np.ndarray, bits: int, factors: int, epochs: int, least: int, differ: float, rate: float, decay: float, seed: int) -> Model:
-    """docs: each document's distinct terms. Classes weigh the same in the loss; w0 is then put back to their shares."""
+def train(docs: list[np.ndarray], y: np.ndarray, bits: int, factors: int, epochs: int, least: int, differ: float, rate: float, decay: float, seed: int, share: float = 0.0) -> Model:
+    """docs: each document's distinct terms. Classes weigh the same in the loss; ``share`` is what a text without terms scores."""
     size = 1 << bits
     seen = np.bincount(np.concatenate(docs), minlength=size)
     toxic = np.bincount(np.concatenate([t for t, k in zip(docs, y) if k == 1]), minlength=size)
@@ -159,13 +163,11 @@ def train(docs: list[np.ndarray], y: np.ndarray, bits: int, factors: int, epochs
                 v[f, used] -= 0.2 * rate * dv / np.sqrt(gv[f, used])
             g0 += g.sum() ** 2
             w0 -= rate * g.sum() / np.sqrt(g0)
-    return Model(float(w0), w, v, x)
+    return Model(float(w0), w, v, x, share)
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = 2000, bits: int = 17, factors: int = 4, epochs: int = 6, least: int = 3, differ: float = 3.0, rate: float = 0.1, decay: float = 1e-4, seed: int = 11) -> Model:
     """At most ``bound`` documents a class outside the held-out fold; their hashed terms come to the driver."""
-    ids = C.labelled_ids(docs, labels, "toxic", MOD, REM, bound)
-
     def run(batches):
         for b in batches:
             for s in X.slabs(b.column("text")):
@@ -173,16 +175,16 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 2000, bits: int = 17, f
                 cut = np.searchsorted(doc, np.arange(s.n + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(s.first, s.n), b.column("y").slice(s.first, s.n), pa.ListArray.from_arrays(pa.array(cut), pa.array(term.astype(np.int32)))], names=["doc_id", "y", "t"])
 
-    text = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = text.join(F.broadcast(ids), "doc_id").mapInArrow(run, "doc_id long, y int, t array<int>").toArrow().sort_by("doc_id")
+    drawn = C.labelled(docs, labels, "toxic", MOD, REM, bound).select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text")
+    rows = drawn.mapInArrow(run, "doc_id long, y int, t array<int>").toArrow().sort_by("doc_id")
     y = rows.column("y").to_numpy().astype(np.float64)
+    share = labels.where(F.col("toxic").isin(0, 1) & ~C.held_out(MOD, REM)).agg(F.avg("toxic")).first()[0] or 0.0
     if not len(y) or y.min() == y.max():
-        p = np.clip(y.mean() if len(y) else 0.0, 1e-13, 1 - 1e-13)
-        return Model(float(np.log(p / (1 - p))), None, None, None)
+        return Model(0.0, None, None, None, float(y.mean()) if len(y) else float(share))
     lists = rows.column("t").combine_chunks()
     off, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
     each = [flat[off[i] : off[i + 1]].astype(np.int64) for i in range(len(y))]
-    return train(each, y, bits, factors, epochs, least, differ, rate, decay, seed)
+    return train(each, y, bits, factors, epochs, least, differ, rate, decay, seed, float(share))
 
 
 def score(docs: DataFrame, model: Model, out: str = "score", bits: int = 17) -> DataFrame:
@@ -195,6 +197,7 @@ def score(docs: DataFrame, model: Model, out: str = "score", bits: int = 17) ->
         for b in batches:
             found = [np.zeros(0)] + [m.scores(s.n, *terms(s, bits)) for s in X.slabs(b.column(place))]
             yield X.append(b, **{out: pa.array(np.concatenate(found), pa.float64())})
+        X.release()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out, DoubleType())]))
 
