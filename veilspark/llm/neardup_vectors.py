@@ -1,8 +1,9 @@
 """Near-duplicate vectors by product quantisation.
 
 Vectors are scaled to length one. ``lists`` coarse centres and, for the residuals, ``codes`` centres in each of ``subspaces``
-subspaces are fitted on a bounded sample of 4096; every vector goes to its nearest list with its residual's codes and its
-own quantisation error. A vector is compared in the ``probes`` lists nearest to it: a table of its residual's distances to
+subspaces are fitted on a sample of 64 vectors a list; every vector goes to its nearest list with its residual's codes and its
+own quantisation error. Lists grow with the root of the number of vectors (64 for 50,000; 8 to 2,048) and probes with the
+root of that of lists (12 of 64), so that the work grows with the power 1.75 and the broadcast is bounded. A vector is compared in the ``probes`` lists nearest to it: a table of its residual's distances to
 the codes gives the asymmetric distance to every member by look-up, members that even their quantisation error can't bring
 within the threshold are left out, and the rest are decided by their exact cosine in double precision. Only vectors with
 equal labels meet. The look-up never loses a pair; a pair is lost only if neither vector probes the other's list.
@@ -68,12 +69,15 @@ def link_block(quant: Quantiser, which: int, x: np.ndarray, y: np.ndarray, code:
     return out
 
 
-def near_duplicates(vectors: DataFrame, least: float = LEAST, lists: int = 64, probes: int = 12, subspaces: int = 8, codes: int = 64, tile: int = 2048, sample: int = 4096) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = LEAST, lists: int | None = None, probes: int | None = None, subspaces: int = 8, codes: int = 64, tile: int = 2048) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("x"), V.usable().alias("ok"))
     rows = every.where(F.col("ok") & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
-    dim = rows.agg(F.max(F.size("x"))).first()[0] or 0
+    dim, many = rows.agg(F.max(F.size("x")), F.count("*")).first()
+    dim = dim or 0
+    lists = lists or min(2048, max(8, round(64 * (many / 50_000) ** 0.5)))
+    probes = probes or min(lists, max(6, round(12 * (lists / 64) ** 0.5)))
     alone = every.select("vec_id").withColumn("none", F.lit(0).cast("long"))
     if not dim:
         return alone.select("vec_id", F.col("none").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -84,7 +88,7 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, lists: int = 64, p
         n = np.linalg.norm(x, axis=1, keepdims=True)
         return x / np.where(n > 0, n, 1)
 
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("x").toArrow()
+    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(2048, 64 * lists)).select("x").toArrow()
     points = unit(V.matrix(drawn.column("x"), dim))
     shared = spark.sparkContext.broadcast(Quantiser(points, lists, subspaces, codes))
 
@@ -100,24 +104,25 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, lists: int = 64, p
 
     full = C.materialize(rows.mapInArrow(encoded, "vec_id long, label long, same binary, near array<int>, code binary, err double, x binary"), "pq")
     classes = C.materialize(full.groupBy("label", "same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "pq-classes")
-    reps = full.join(classes, [full.label == classes.label, full.same == classes.same, full.vec_id == classes.rep]).select(full.label, "rep", "weight", "near", "code", "err", "x").dropDuplicates(["label", "rep", "x"])
-    reps = C.materialize(reps.withColumn("rid", F.xxhash64("label", "rep", "x")), "pq-reps")
+    reps = full.join(classes, [full.label == classes.label, full.same == classes.same, full.vec_id == classes.rep]).select(full.label, full.same, "rep", "weight", "near", "code", "err", "x").dropDuplicates(["label", "same"])
+    reps = C.materialize(reps.withColumn("rid", F.xxhash64("label", "same")).drop("same"), "pq-reps")
     held = reps.withColumn("list", F.col("near")[0])
     asks = reps.withColumn("list", F.explode("near"))
     tiles = C.materialize(
         held.groupBy("label", "list").agg(F.ceil(F.count("*") / tile).cast("int").alias("ny"))
         .join(asks.groupBy("label", "list").agg(F.ceil(F.count("*") / tile).cast("int").alias("nx")), ["label", "list"]), "pq-tiles")
-    cols = ["label", "list", "tx", "ty", "rep", "weight", "near", "code", "err", "x"]
+    cols = ["label", "list", "tx", "ty", "rid", "rep", "weight", "near", "code", "err", "x"]
     left = asks.join(tiles, ["label", "list"]).withColumn("tx", F.pmod("rid", F.col("nx")).cast("int")).withColumn("ty", F.explode(F.sequence(F.lit(0), F.col("ny") - 1))).select(cols)
     right = held.join(tiles, ["label", "list"]).withColumn("ty", F.pmod("rid", F.col("ny")).cast("int")).withColumn("tx", F.explode(F.sequence(F.lit(0), F.col("nx") - 1))).select(cols).toDF(*[f"{c}_" for c in cols])
 
     def run(key, a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             z = np.zeros(0, np.int64)
-            return pa.table({"label": z, "rep": z, "links": z, "low": z})
+            return pa.table({"rid": z, "rep": z, "links": z, "low": z})
         b = b.rename_columns(a.column_names)
         quant, which = shared.value, key[1].as_py()
         xi, yi = a.column("rep").to_numpy(), b.column("rep").to_numpy()
+        xr, yr = a.column("rid").to_numpy(), b.column("rid").to_numpy()
         x, y = V.from_raw(a.column("x"), dim), V.from_raw(b.column("x"), dim)
         code, err = V.from_raw(b.column("code"), len(quant.spans), np.uint8), b.column("err").to_numpy()
         home = np.array([r[0] for r in a.column("near").to_pylist()])
@@ -133,7 +138,7 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, lists: int = 64, p
             # a pair that both lists see counts in the smaller; within a list each side counts the other once
             away = home[lo:hi] != which
             hit[away] &= ~(meets[:, home[lo:hi][away]].T & (home[lo:hi][away] < which)[:, None])
-            hit &= ~((xi[lo:hi][:, None] == yi[None]) & ~away[:, None])
+            hit &= ~((xr[lo:hi][:, None] == yr[None]) & ~away[:, None])
             nx[lo:hi] = hit @ wy
             ny += (hit & away[:, None]).T @ wx[lo:hi]
             blocks.append(np.packbits(hit, axis=1))
@@ -151,16 +156,16 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, lists: int = 64, p
             if lx.sum() + ly.sum() == before:
                 break
         n = np.concatenate([nx, ny])
-        ids, low = np.concatenate([xi, yi]), np.concatenate([lx, ly])
+        ids, low, rid = np.concatenate([xi, yi]), np.concatenate([lx, ly]), np.concatenate([xr, yr])
         keep = (n > 0) | (low != ids)
-        return pa.table({"label": np.full(int(keep.sum()), key[0].as_py(), np.int64), "rep": ids[keep], "links": n[keep], "low": low[keep]})
+        return pa.table({"rid": rid[keep], "rep": ids[keep], "links": n[keep], "low": low[keep]})
 
     keys = ["label", "list", "tx", "ty"]
-    found = C.materialize(left.groupBy(*keys).cogroup(right.groupBy(*[f"{k}_" for k in keys])).applyInArrow(run, "label long, rep long, links long, low long"), "pq-found")
+    found = C.materialize(left.groupBy(*keys).cogroup(right.groupBy(*[f"{k}_" for k in keys])).applyInArrow(run, "rid long, rep long, links long, low long"), "pq-found")
     comp = C.components(found.where("low != rep").select("rep", "low").distinct(), "rep", "low")
-    counted = found.groupBy("label", "rep").agg(F.sum("links").alias("links"))
+    counted = found.groupBy("rid").agg(F.sum("links").alias("links"))
     per = (
-        classes.join(counted, ["label", "rep"], "left").join(comp, F.col("rep") == F.col("node"), "left")
+        classes.withColumn("rid", F.xxhash64("label", "same")).join(counted, "rid", "left").join(comp, F.col("rep") == F.col("node"), "left")
         .select("label", "same", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("comp", "rep").alias("component_id"))
     )
     linked = full.select("vec_id", "label", "same").join(per, ["label", "same"]).select("vec_id", "n_links", "component_id")

@@ -8,11 +8,12 @@ sorted by how near they can come, until no annulus left can score as much as its
 
 A pivot's vectors are dealt to groups of about ``group`` rows and its queries to blocks of about ``block``, so no task
 holds a pivot, however many vectors are alike. The index keeps every vector; pivots are chosen from a bounded sample of
-4096. What the driver and the broadcasts hold is ``pivots`` rows.
+4096. What the driver and the broadcasts hold is ``pivots`` rows; the sizes of groups, a row a group, are joined.
 
 Defined results: vectors null or with null or non-finite components take no part, as query or candidate; shorter vectors
 count as filled with zeros; rows that share the query's id are its own; ties go to the smaller id; fewer candidates than
-k: all; without queries or candidates no rows. Scores are exact while they fit 53 bits.
+k: all; without queries or candidates no rows. Scores are exact while they fit 53 bits. Rows that repeat an id with a
+vector each are candidates each, so an id may take two ranks; extra columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -107,8 +108,8 @@ def top_k(vectors: DataFrame, query: F.Column, k: int = 5, scale: float = 256.0,
     def visit(plan: DataFrame) -> DataFrame:
         """plan: qid, q, least, pivot, part. The k best in that group of vectors, for each."""
         sizes = plan.groupBy("pivot", "part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-        plan = plan.join(F.broadcast(sizes), ["pivot", "part"]).withColumn("blk", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int"))
-        held = index.select("vec_id", "pivot", "part", "r", "x").join(F.broadcast(sizes), ["pivot", "part"]).withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        plan = plan.join(sizes, ["pivot", "part"]).withColumn("blk", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int"))
+        held = index.select("vec_id", "pivot", "part", "r", "x").join(sizes, ["pivot", "part"]).withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
         def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
             if not left.num_rows or not right.num_rows:
@@ -128,27 +129,25 @@ def top_k(vectors: DataFrame, query: F.Column, k: int = 5, scale: float = 256.0,
     seed = asks.join(F.broadcast(parts.withColumnRenamed("pivot", "home")), "home").select("qid", "q", F.col("home").alias("pivot"), F.pmod(F.xxhash64("qid"), F.col("parts")).cast("int").alias("part"), lowest.alias("least"))
     floor = visit(seed).groupBy("qid").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("least"))
     asks = asks.join(floor, "qid", "left").withColumn("least", F.coalesce("least", lowest))
-    near = [(p, m["lo"], m["hi"], -(-m["n"] // group)) for p, m in sorted(meta.items())]
+    near = [(p, m["lo"], m["hi"]) for p, m in sorted(meta.items())]
 
     def route(batches):
-        """Each query to the groups of the pivots that could hold as good a vector as its bound."""
+        """Each query to the pivots that could hold as good a vector as its bound."""
         for b in batches:
             q, least = V.from_raw(b.column("q"), dim), b.column("least").to_numpy()
             to = np.sqrt(V.squared(np.hstack([q, np.zeros((len(q), 1))]), shared.value))
             far2 = (q * q).sum(1) + top * top
-            take, pivot, part = [], [], []
-            for p, lo, hi, n in near:
+            take, pivot = [], []
+            for p, lo, hi in near:
                 gap = np.maximum(0, np.maximum(lo - to[:, p], to[:, p] - hi) - EPS * (1 + top))
-                who = np.flatnonzero((far2 - gap * gap) / 2 + EPS * (1 + far2) >= least)
-                for j in range(n):
-                    take.append(who)
-                    pivot.append(np.full(len(who), p, np.int32))
-                    part.append(np.full(len(who), j, np.int32))
+                take.append(np.flatnonzero((far2 - gap * gap) / 2 + EPS * (1 + far2) >= least))
+                pivot.append(np.full(len(take[-1]), p, np.int32))
             i = pa.array(np.concatenate(take))
-            yield pa.RecordBatch.from_arrays([b.column("qid").take(i), b.column("q").take(i), b.column("least").take(i), pa.array(np.concatenate(pivot)), pa.array(np.concatenate(part))], names=["qid", "q", "least", "pivot", "part"])
+            yield pa.RecordBatch.from_arrays([b.column("qid").take(i), b.column("q").take(i), b.column("least").take(i), pa.array(np.concatenate(pivot))], names=["qid", "q", "least", "pivot"])
 
-    routed = C.materialize(asks.select("qid", "q", "least").mapInArrow(route, "qid long, q binary, least double, pivot int, part int"), "pivot-routes")
-    return visit(routed).select(F.col("qid").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    routed = C.materialize(asks.select("qid", "q", "least").mapInArrow(route, "qid long, q binary, least double, pivot int"), "pivot-routes")
+    groups = routed.join(F.broadcast(parts), "pivot").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return visit(groups).select(F.col("qid").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op4_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
