@@ -269,31 +269,65 @@ def test_pii_odd_rows(spark, odd, none):
     assert red.columns == odd.columns and red.count() == 11
 
 
-def test_shards(spark, sf, odd, none):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    out, shard_map = shards.assign(docs)
-    rows = out.collect()
-    text = {r["doc_id"]: r["text"] for r in docs.collect()}
-    by = defaultdict(list)
+def held_by_law(out, docs):
+    """Sizes and checksums are the texts', places are gapless, and the heaviest shard is the lightest but for a piece."""
+    rows, load, by = out.collect(), Counter(), defaultdict(list)
+    want = Counter((r["doc_id"], len((r["text"] or "").encode()) + 16, zlib.crc32((r["text"] or "").encode())) for r in docs)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == want
     for r in rows:
-        raw = (text[r["doc_id"]] or "").encode()
-        assert r["size"] == len(raw) + 16 and r["text_crc32"] == zlib.crc32(raw)
         by[r["shard"]].append(r["slot"])
+        load[r["shard"]] += r["size"]
     assert all(sorted(v) == list(range(len(v))) for v in by.values()) and set(by) <= set(range(40))
-    assert shards.assign(odd)[0].count() == 11 and shards.assign(none)[0].count() == 0
+    return [load[k] for k in range(40)]
+
+
+def test_op8_query_is_balanced(spark):
+    path = "/root/testdata/sf0.1"
+    load = held_by_law(shards.op8_virtual_slots(spark, path), spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect())
+    mean = sum(load) / 40
+    assert max(load) <= 1.01 * mean and min(load) >= 0.99 * mean
+
+
+def test_shards_divide_a_hot_id(spark):
+    rows = [(7 if i % 2 else i, "text of some bytes " * (1 + i % 5)) for i in range(8000)] + [(7, None), (None, "x"), (None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out, shard_map = shards.assign(df)
+    load = held_by_law(out, df.collect())
+    mean = sum(load) / 40
+    assert max(load) <= 1.02 * mean and min(load) >= 0.98 * mean and shard_map["divided"] and shard_map["version"] == 2
+
+
+def test_shards_odd_rows(spark, odd, none):
+    held_by_law(shards.assign(odd)[0], odd.collect())
+    assert shards.assign(none)[0].count() == 0
 
 
 def test_shard_map_edits(spark, tmp_path):
     rng = random.Random(1)
-    sizes = {s: rng.randint(50, 150) for s in range(4096)}
-    one = shards.build_map(sizes, 40)
+    sizes = {(s, 0): rng.randint(50, 150) for s in range(4096)}
+    one = shards.first_map(40)
+    two = shards.rebalance(one, sizes, 40)
+    place = lambda m: {(s, k): x for s, home in enumerate(m["map"]) for k, x in enumerate(m["divided"].get(str(s), [home]))}
     load = Counter()
-    for s, k in enumerate(one["map"]):
-        load[k] += sizes[s]
-    assert max(load.values()) - min(load.values()) <= 150
-    two = shards.rebalance(one, sizes, 41)
-    moved = [(a, b) for a, b in zip(one["map"], two["map"]) if a != b]
-    assert two["version"] == 2 and len(moved) < 4096 / 20
-    shards.save_map(spark, one, f"file://{tmp_path}/m")
-    shards.save_map(spark, two, f"file://{tmp_path}/m")
-    assert shards.load_map(spark, f"file://{tmp_path}/m") == two and shards.load_map(spark, f"file://{tmp_path}/m", 1) == one
+    for p, k in place(two).items():
+        load[k] += sizes[p]
+    assert max(load.values()) - min(load.values()) <= 150 and sum(a != b for a, b in zip(one["map"], two["map"])) < 4096 / 10
+    three = shards.rebalance(two, sizes, 41)
+    moved = [(a, b) for a, b in zip(two["map"], three["map"]) if a != b]
+    assert three["version"] == 3 and len(moved) < 4096 / 20
+    four = shards.rebalance(three, sizes | {(5, k): 4000 for k in range(9)}, 41)
+    assert len(four["divided"]["5"]) == 9 and len(set(four["divided"]["5"])) > 5
+    five = shards.rebalance(four, sizes, 30)
+    assert set(place(five).values()) == set(range(30))
+    for m in (one, two, three):
+        shards.save_map(spark, m, f"file://{tmp_path}/m")
+    assert shards.load_map(spark, f"file://{tmp_path}/m") == three and shards.load_map(spark, f"file://{tmp_path}/m", 1) == one
+
+
+def test_shards_are_written(spark, odd, tmp_path):
+    odd.write.parquet(f"file://{tmp_path}/odd")
+    odd = spark.read.parquet(f"file://{tmp_path}/odd")
+    out, shard_map = shards.assign(odd)
+    shards.write_shards(odd, shard_map, f"file://{tmp_path}/s")
+    back = spark.read.parquet(f"file://{tmp_path}/s")
+    assert Counter((r["doc_id"], r["shard"]) for r in back.collect()) == Counter((r["doc_id"], r["shard"]) for r in out.collect())

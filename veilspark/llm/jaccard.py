@@ -212,6 +212,7 @@ def _linked(num: int, n: int):
                 a.append(int(ids[g[i]]))
                 b.append(int(ids[g[j]]))
             at = end
+        X.release()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -230,6 +231,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, rows: int = 5
                     sig.append(mark(s))
                     keys.append(make.keys(s).tobytes() if len(s) else b"")
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.binary())], names=["doc_id", "n", "sig", "keys"])
+        X.release()
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = C.materialize(text.mapInArrow(described, "doc_id long, n long, sig binary, keys binary"), "ngrams")
