@@ -115,6 +115,67 @@ def test_packing_pieces(spark, odd, none, tok):
     assert packing.pack(none).count() == 0
 
 
+def sequential_round_robin(totals, targets, size):
+    """One window after the other: every live queue's credit grows by its share, whole tokens are taken, the rest is carried."""
+    left, credit, windows = dict(totals), dict.fromkeys(totals, Fraction(0)), []
+    while sum(left.values()):
+        live = [s for s in left if left[s] and targets[s]] or [s for s in left if left[s]]
+        whole = sum(Fraction(str(targets[s])) or Fraction(1) for s in live)
+        for s in live:
+            credit[s] += size * (Fraction(str(targets[s])) or Fraction(1)) / whole
+        take = {s: min(left[s], int(credit[s])) for s in live}
+        for s in sorted(live, key=lambda s: take[s] - credit[s]):
+            take[s] += min(left[s] - take[s], 1, size - sum(take.values()))
+        for s in take:
+            left[s] -= take[s]
+            credit[s] -= take[s]
+        windows.append(take)
+    return windows
+
+
+@pytest.mark.parametrize("targets", [{"a": 0.5, "b": 0.3, "c": 0.2, "z": 0}, {"a": 0.05, "b": 0.9, "c": 0.05, "z": 0, "missing": 0.0}, {"a": 0.25, "b": 0.25, "c": 0.25, "z": 0.25}])
+def test_packing_equals_a_sequential_round_robin(spark, targets):
+    """Until the first queue is dry every window gives each source what one sequential run would, but for two tokens."""
+    rows = [(i, "token words here " * (1 + i * 7 % 23), "abcz"[min(3, i % 10 // 3)]) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got, size = packing.pack(df, size=512, targets=targets).collect(), 512
+    by, totals = defaultdict(Counter), Counter()
+    for r in got:
+        by[r["sequence_id"]][rows[r["doc_id"]][2]] += r["length"]
+        totals[rows[r["doc_id"]][2]] += r["length"]
+    want = sequential_round_robin(totals, targets, size)
+    run = 0
+    for k, take in enumerate(want):
+        if any(sum(t[s] for t in want[: k + 1] if s in t) == totals[s] for s in take):
+            break
+        run += 1
+        for s in "abcz":
+            assert abs(by[k][s] - take.get(s, 0)) <= 2, (k, s, by[k], take)
+            assert abs(by[k][s] - targets[s] * size) <= 2
+    assert run >= 5 and sorted(by) == list(range(-(-sum(totals.values()) // size)))
+    assert all(sum(by[k].values()) == size for k in range(len(by) - 1))
+    if targets["z"] == 0:
+        first = min(k for k in by if by[k]["z"])
+        assert all(set(by[k]) == {"z"} for k in by if k > first)
+
+
+def test_op2_query_holds_the_contract(spark, sf, tok):
+    docs = {r["doc_id"]: tok.encode(r["text"] or "", add_special_tokens=False).ids + [2] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    seqs, seen = defaultdict(list), defaultdict(list)
+    for r in packing.op2_packing_drr(spark, sf).collect():
+        ids = docs[r["doc_id"]]
+        assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+        seqs[r["sequence_id"]].append((r["offset"], r["length"]))
+        seen[r["doc_id"]].append((r["start"], r["length"]))
+    assert seen.keys() == docs.keys()
+    for d, x in seen.items():
+        ends = np.cumsum([n for _, n in sorted(x)])
+        assert [a for a, _ in sorted(x)] == [0, *ends[:-1]] and ends[-1] == len(docs[d])
+    for k, x in seqs.items():
+        ends = np.cumsum([n for _, n in sorted(x)])
+        assert [a for a, _ in sorted(x)] == [0, *ends[:-1]] and (ends[-1] == 4096 or k == len(seqs) - 1 and ends[-1] < 4096)
+
+
 def test_packing_deals_rare_sources(spark):
     """With more sources than queues every window keeps every source's share; a target for a rare source counts."""
     rows = [(i, "word and more " * (6 if i % 300 else 8), f"s{i % 300}") for i in range(1200)]

@@ -14,8 +14,8 @@ window needs to see another.
    queue's places out in pairs (the left one has given floor(x * L / (L + R)) of the first x), also in closed form.
 3. The driver lays out phases (at most two a queue); the written rows join their places and are cut.
 
-Targets are shares by source, sources without one share what is left in proportion; a share counts as two tokens a window
-at least, and size / 4 sources can be named. Without targets the sources' own shares, so that all queues run dry together and only the very
+Targets are shares by source, sources without one share what is left in proportion; a share over zero counts as two tokens a
+window at least, sources of target zero wait until all others are dry, and size / 4 sources can be named. Without targets the sources' own shares, so that all queues run dry together and only the very
 last window is padded. Defined results: null text is empty, its document is the end token alone; a null source queues
 as ''; repeated rows are packed each; an empty table gives no pieces. Ties have no part: queues run in input order.
 """
@@ -112,12 +112,18 @@ def phases(totals: list[int], weights: list[Fraction], size: int) -> list[tuple[
     """(first window, windows, tokens of each queue, tokens of each queue before): whole windows, but for the last."""
     left, used, out, at = list(totals), [0] * len(totals), [], 0
     while sum(left):
-        live = [i for i, r in enumerate(left) if r]
-        raw = {i: max(Fraction(weights[i]), Fraction(2, size) * sum(weights[j] for j in live), Fraction(1, size)) for i in live}
+        live = [i for i, r in enumerate(left) if r and weights[i]]
+        # what has target zero waits until all else is dry, and then goes in proportion
+        given = weights if live else left
+        live = live or [i for i, r in enumerate(left) if r]
+        raw = {i: max(Fraction(given[i]), Fraction(2, size) * sum(given[j] for j in live)) for i in live}
         share = {i: w / sum(raw.values()) for i, w in raw.items()}
         n = [0] * len(left)
-        if sum(left) <= size:
-            w, n = 1, list(left)
+        if sum(left[i] for i in live) <= size:
+            # the last window of what is live; what waits fills it up
+            w, n = 1, [r if i in share else 0 for i, r in enumerate(left)]
+            for i, r in enumerate(left):
+                n[i] += min(r - n[i], size - sum(n))
         else:
             w = max(1, int(min(left[i] / share[i] for i in live) // size))
             for i in live:
@@ -132,9 +138,9 @@ def phases(totals: list[int], weights: list[Fraction], size: int) -> list[tuple[
                     short -= more
         out.append((at, w, n, list(used)))
         at += w
-        for i in live:
-            left[i] -= n[i]
-            used[i] += n[i]
+        for i, k in enumerate(n):
+            left[i] -= k
+            used[i] += k
     return out
 
 
