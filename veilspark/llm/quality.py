@@ -25,7 +25,7 @@ from . import common as C
 from . import textops as X
 
 MOD, REM, THRESHOLD = 4, 2, 0.7
-WORDS, SHARE = 4096, 0.25
+WORDS, SHARE = 2048, 0.25
 U = np.uint64
 
 
@@ -104,12 +104,17 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 2000, dims: int = 2048,
     y = np.asarray(rows.column("y").to_pylist(), np.float64)
     if not len(y):
         return Model(None, None, y, 0.5, k, sharp)
-    c = np.zeros((len(y), dims + WORDS), np.float32)
-    for n, (i, v) in enumerate(zip(rows.column("i").to_pylist(), rows.column("v").to_pylist())):
-        c[n, i] = v
+    at, value = (rows.column(x).combine_chunks() for x in ("i", "v"))
+    cut, at, value = at.offsets.to_numpy(), at.values.to_numpy(), value.values.to_numpy()
+    z = np.zeros((len(y), dims + WORDS), np.float32)
+    for n in range(len(y)):
+        z[n, at[cut[n] : cut[n + 1]]] = value[cut[n] : cut[n + 1]]
+    held = np.bincount(at[cut[0] : cut[-1]], minlength=z.shape[1])
+    del rows, at, value
+    for lo in range(0, len(y), 256):
+        z[lo : lo + 256] = damped(z[lo : lo + 256])
     share = labels.where(F.col("quality").isin(0, 1) & ~C.held_out(MOD, REM)).agg(F.avg("quality")).first()[0]
-    z = damped(c)
-    idf = (np.log((1 + len(y)) / (1 + (c > 0).sum(0))) + 0.3).astype(np.float32)
+    idf = (np.log((1 + len(y)) / (1 + held)) + 0.3).astype(np.float32)
     z *= idf
     rng = np.random.default_rng(seed)
     r = min(rank, *z.shape)
@@ -118,6 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 2000, dims: int = 2048,
         q = np.linalg.qr(z @ (z.T @ q))[0]
     basis = np.linalg.svd(q.T @ z, full_matrices=False)[2][:r].T
     refs = z @ basis
+    del z
+    X.release()
     norm = np.linalg.norm(refs, axis=1)
     good = norm > 1e-9
     return Model((idf[:, None] * basis).astype(np.float32), (refs[good] / norm[good, None]).astype(np.float32), y[good], float(share if share is not None else y.mean()), k, sharp)

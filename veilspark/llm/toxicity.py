@@ -183,8 +183,10 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 2000, bits: int = 17, f
         return Model(0.0, None, None, None, float(y.mean()) if len(y) else float(share))
     lists = rows.column("t").combine_chunks()
     off, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-    each = [flat[off[i] : off[i + 1]].astype(np.int64) for i in range(len(y))]
-    return train(each, y, bits, factors, epochs, least, differ, rate, decay, seed, float(share))
+    each = [flat[off[i] : off[i + 1]] for i in range(len(y))]
+    model = train(each, y, bits, factors, epochs, least, differ, rate, decay, seed, float(share))
+    X.release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, out: str = "score", bits: int = 17) -> DataFrame:
