@@ -48,10 +48,12 @@ def sweep(spark: SparkSession) -> int:
 
 def _to_least(pairs: DataFrame, total: int, hubs: int) -> DataFrame:
     """(u, v, m): every row (u, v) with the least v of its u. A u with more than ``2 * total / hubs`` rows meets its
-    least v by broadcast, so its rows stay where they are; there are at most ``hubs`` of them, as rows are ``2 * total`` at most."""
+    least v by broadcast and its rows are dealt by v; there are at most ``hubs`` of them, as rows are ``2 * total`` at most."""
     low = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    hot = F.broadcast(low.where(F.col("n") > 2 * total / hubs).select("u", "m"))
-    return pairs.join(hot, "u").unionByName(pairs.join(hot.select("u"), "u", "left_anti").join(low.select("u", "m"), "u"))
+    hot = low.where(F.col("n") > 2 * total / hubs).select("u", F.col("m").alias("hot"))
+    dealt = pairs.join(F.broadcast(hot), "u", "left").withColumns({"h": F.col("hot").isNotNull(), "k": F.when(F.col("hot").isNull(), F.col("u")).otherwise(F.xxhash64("v"))})
+    rest = low.select(F.lit(False).alias("h"), F.col("u").alias("k"), "m")
+    return dealt.join(rest, ["h", "k"], "left").select("u", "v", F.coalesce("hot", "m").alias("m"))
 
 
 def components(edges: DataFrame, src: str, dst: str, kind: str = "long", hubs: int = 1000) -> DataFrame:
