@@ -61,6 +61,11 @@ ROLE_CTX = (
     r"управляющ\w*|ликвидатор\w*|арбитражн\w+[^\S\n]+управляющ\w*|судья|адвокат\w*)[ \t\u00a0:,\-–—_]*$"
 )
 
+BIK_LABEL = r"БИК[^\S\n]*:?[^\S\n]*$"
+ACCOUNT_BEGINS = r"4[012]|30|03"
+#: What may stand between two numbers of one requisite line.
+BETWEEN_NUMBERS = r"[ \t\u00a0/|,;\\]{1,6}"
+
 # ---- Fixed values: patterns --------------------------------------------------------------------------------------
 HYPHEN = r"[^\S\n]?-[^\S\n]?"
 EGRN = (
@@ -158,6 +163,8 @@ ADDRESS_PARTS = {
     ),
 }
 BARE_HOUSE = r"\d{1,4}[А-Яа-я]?(?:/\d{1,4})?(?![\d.:])"
+#: What stands between two parts of an address.
+ADDRESS_GAP = r"[^\S\n]+,?[^\S\n]*|,[^\S\n]*"
 ADDRESS_START = (
     r"(?<![\wА-Яа-яЁё])(?=\d{6}|[А-ЯЁ]|(?i:ул\.|пр-т|пер\.|пер\b|наб\.|г\.|гор\.|город|пос\.|мкр\.|а/я|республика|респ\.|"
     r"д\.|дом|кв\.|оф\.|офис|стр\.|корп\.|лит\.|блок|вн\.тер))"
@@ -219,6 +226,7 @@ SURNAME_END = (
     r"(?:ов|ев|ёв|ин|ын|ский|цкий|ской|ова|ева|ёва|ина|ына|ская|цкая|ко|ук|юк|ян|дзе|швили|ых|их|ович|евич|ович)"
     r"(?:а|у|ым|ой|ом|е|ы)?$"
 )
+FEMALE_SURNAME = r"(?:ова|ева|ёва|ина|ына|ская|цкая|ой)$"
 TURKIC_END = r"(?:оглы|кызы|гызы|улы|уулу)"
 LATIN_PATRONYMIC = r"(?:ovich|evich|ovna|evna|ichna|ich)"
 FIRST_NAMES = (

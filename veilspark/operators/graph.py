@@ -51,7 +51,7 @@ def _to_least(pairs: DataFrame, total: int, hubs: int) -> DataFrame:
     least v by broadcast and its rows are dealt by v; there are at most ``hubs`` of them, as rows are ``2 * total`` at most."""
     low = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
     hot = low.where(F.col("n") > 2 * total / hubs).select("u", F.col("m").alias("hot"))
-    dealt = pairs.join(F.broadcast(hot), "u", "left").withColumns({"h": F.col("hot").isNotNull(), "k": F.when(F.col("hot").isNull(), F.col("u")).otherwise(F.xxhash64("v"))})
+    dealt = pairs.join(F.broadcast(hot), "u", "left").withColumns({"h": F.col("hot").isNotNull(), "k": F.when(F.col("hot").isNull(), F.col("u")).otherwise(F.xxhash64("v").cast(pairs.schema["u"].dataType))})
     rest = low.select(F.lit(False).alias("h"), F.col("u").alias("k"), "m")
     return dealt.join(rest, ["h", "k"], "left").select("u", "v", F.coalesce("hot", "m").alias("m"))
 

@@ -9,6 +9,8 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: What a batch between the JVM and Python holds at most, unless the session says otherwise: texts may be long.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -25,4 +27,7 @@ def ship(spark: SparkSession) -> SparkSession:
                         z.write(full, os.path.join("veilspark", os.path.relpath(full, root)))
         spark.sparkContext.addPyFile(out)
         _shipped.add(app)
+    for key, (default, ours) in BATCH.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, ours)
     return spark
