@@ -93,41 +93,75 @@ def review_pairs(mappings: DataFrame, rejected: DataFrame | None = None) -> Data
     """(session_id, a, b, type): pairs for a person to judge: companies and addresses one typo in eight characters
     apart, one address inside another but for rooms, and persons with a surname but no agreement.
 
-    Typos are found without comparing all pairs: two strings within d edits share one of d + 1 equal pieces at nearly
-    the same place, so the deletion neighbourhood of pieces is the join key; levenshtein(a, b, d) decides.
+    Typos are found without comparing all pairs, among distinct keys only: of two strings within d edits the shorter is
+    cut into d + 1 pieces, of which one stands unchanged in the longer at nearly the same place (``pieces``, ``probes``);
+    levenshtein(a, b, d) decides, and tokens are joined to what is left. Persons meet on distinct (surname, person) keys.
     """
     w = Window.partitionBy("session_id", "token").orderBy("original_form")
     first = mappings.where("status = 'active'").withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
     items = first.withColumn("k", T.merge_key("original_form", "entity_type")).withColumn("pre", prefix_of(F.col("entity_type")))
     orgs = items.where(F.col("entity_type").isin(*P.ORG_TYPES + P.ADDRESS_TYPES) & (F.length("k") >= 4))
-    cmp_ = orgs.select("session_id", "pre", "token", "entity_type", F.regexp_replace("k", "[ ,]", "").alias("s"), T.address_parts("original_form").alias("parts"))
-    made = cmp_.select("*", F.explode(piece_keys(F.col("s"))).alias("key"))
-    a, b = made.alias("a"), made.alias("b")
-    near = a.join(b, ["session_id", "pre", "key"]).where(F.col("a.token") < F.col("b.token")).select("session_id", "pre", F.col("a.token").alias("a"), F.col("b.token").alias("b"), F.col("a.entity_type").alias("type"), F.col("a.s").alias("sa"), F.col("b.s").alias("sb"), F.col("a.parts").alias("pa"), F.col("b.parts").alias("pb")).distinct()
-    limit = F.greatest(F.lit(1), F.floor(F.least(F.length("sa"), F.length("sb")) / 8)).cast("int")
+    named = orgs.select("session_id", "pre", "token", "entity_type", F.regexp_replace("k", "[ ,]", "").alias("s"), T.address_parts("original_form").alias("parts"))
+    keys = materialize(named.select("session_id", "pre", "s").distinct(), "review-keys")
+    short = keys.select("session_id", "pre", F.col("s").alias("sa"), F.explode(pieces(F.col("s"))).alias("x")).select("session_id", "pre", "sa", "x.*")
+    long_ = keys.select("session_id", "pre", F.col("s").alias("sb"), F.explode(probes(F.col("s"))).alias("x")).select("session_id", "pre", "sb", "x.*")
+    limit = F.greatest(F.lit(1), F.floor(F.length("sa") / 8)).cast("int")
+    close = short.join(long_, ["session_id", "pre", "n", "i", "piece"]).where("n < length(sb) OR sa < sb").withColumn("limit", limit).where(F.expr("levenshtein(sa, sb, limit) >= 0")).select("session_id", "pre", "sa", "sb").distinct()
     numbers = lambda p: F.filter(p, lambda x: x.rlike("[0-9]"))
     alike = F.col("type").isin(*P.ORG_TYPES) | ((F.size("pa") == F.size("pb")) & (numbers(F.col("pa")) == numbers(F.col("pb"))))
-    typo = near.where((F.col("sa") != F.col("sb")) & alike & F.levenshtein("sa", "sb").between(1, limit)).select("session_id", "a", "b", "type")
+    side = lambda x, *more: named.select("session_id", "pre", F.col("s").alias(f"s{x}"), F.col("token").alias(x), F.col("parts").alias(f"p{x}"), *more)
+    typo = close.join(side("a", F.col("entity_type").alias("type")), ["session_id", "pre", "sa"]).join(side("b"), ["session_id", "pre", "sb"]).where(alike & (F.col("a") != F.col("b")))
+    typo = typo.select("session_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "type")
     addr = items.where(F.col("entity_type").isin(*P.ADDRESS_TYPES)).select("session_id", "token", "entity_type", T.address_parts("original_form").alias("parts"))
     cut = addr.select("session_id", F.col("token").alias("b"), F.col("parts").alias("pb"), F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("parts") - 1, F.lit(1))), lambda i: F.slice("parts", 1, i))).alias("parts"))
     rooms = F.forall(F.expr("slice(pb, size(parts) + 1, size(pb))"), lambda p: F.exists(F.split(p, " "), lambda x: x.isin(*P.ADDRESS_ROOMS)))
     inside = addr.withColumnRenamed("token", "a").join(cut, ["session_id", "parts"]).where((F.size("pb") > F.size("parts")) & rooms & F.exists("parts", lambda p: p.rlike("(?:^| )д(?: |$)")))
     inside = inside.select("session_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("entity_type").alias("type"))
     who = items.where(F.col("entity_type").isin(*P.PERSON_TYPES)).withColumn("p", person("original_form")).withColumn("surname", F.col("p.surname")).where("surname is not null")
-    x, y = who.alias("x"), who.alias("y")
+    kinds = who.select("session_id", "surname", "p").distinct()
+    x, y = kinds.alias("x"), kinds.alias("y")
     short = (F.length("x.p.name") == 1) | (F.length("y.p.name") == 1)
-    namesakes = x.join(y, ["session_id", "surname"]).where((F.col("x.token") < F.col("y.token")) & (compatible(F.col("x.p"), F.col("y.p")) | F.coalesce(short, F.lit(False))))
-    namesakes = namesakes.select("session_id", F.col("x.token").alias("a"), F.col("y.token").alias("b"), F.col("x.entity_type").alias("type"))
+    pairs = x.join(y, ["session_id", "surname"]).where(compatible(F.col("x.p"), F.col("y.p")) | F.coalesce(short, F.lit(False))).select("session_id", F.col("x.p").alias("px"), F.col("y.p").alias("py"))
+    keyed = lambda c, t: who.select(F.col("session_id").alias(f"s{t}"), F.col("p").alias(f"k{t}"), F.col("token").alias(t), F.col("entity_type").alias(f"e{t}"))
+    same = lambda a, b: F.to_json(F.col(a)) == F.to_json(F.col(b))
+    namesakes = pairs.join(keyed("x", "a"), (F.col("session_id") == F.col("sa")) & same("px", "ka")).join(keyed("y", "b"), (F.col("session_id") == F.col("sb")) & same("py", "kb")).where("a < b")
+    namesakes = namesakes.select("session_id", "a", "b", F.col("ea").alias("type"))
     out = typo.unionByName(inside).unionByName(namesakes).distinct()
     if rejected is not None:
         out = out.join(rejected.select("session_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["session_id", "a", "b"], "left_anti")
     return out
 
 
-def piece_keys(s: Column) -> Column:
-    """Substrings of which two strings within one edit in eight characters share one: of d + 1 equal pieces one is
-    untouched, and it is at least 5 wide from 16 characters on, 4 from 8 on, 2 below."""
+def _edits(n: Column) -> Column:
+    return F.greatest(F.lit(1), F.floor(n / 8)).cast("int")
+
+
+def _piece(n: Column, i: Column) -> tuple[Column, Column]:
+    """Where the i-th of edits + 1 even pieces of n characters begins, and how wide it is; the last ones are the wider."""
+    d = _edits(n)
+    base, more = F.floor(n / (d + 1)).cast("int"), F.pmod(n, d + 1).cast("int")
+    wide = F.greatest(F.lit(0), i - 1 - (d + 1 - more))
+    return 1 + (i - 1) * base + wide, base + (i > d + 1 - more).cast("int")
+
+
+def pieces(s: Column) -> Column:
+    """(n, i, piece): a string's length and its edits + 1 pieces in order."""
     n = F.length(s)
-    grams = lambda q: F.when(n >= q, F.transform(F.sequence(F.lit(1), F.greatest(n - (q - 1), F.lit(1))), lambda i: F.substring(s, i, F.lit(q)))).otherwise(F.array().cast("array<string>"))
-    none = F.array().cast("array<string>")
-    return F.array_distinct(F.concat(F.when(n >= 16, grams(5)).otherwise(none), F.when(n.between(8, 18), grams(4)).otherwise(none), F.when(n <= 9, grams(2)).otherwise(none)))
+    return F.transform(F.sequence(F.lit(1), _edits(n) + 1), lambda i: F.struct(n.alias("n"), i.alias("i"), s.substr(*_piece(n, i)).alias("piece")))
+
+
+def probes(s: Column) -> Column:
+    """(n, i, piece): for each length n that a shorter string within its edits can have, where its i-th piece could stand
+    in this one: i - 1 places off at most, counted from the left, and edits + 1 - i from the right."""
+    m = F.length(s)
+
+    def at(n: Column, i: Column) -> Column:
+        begin, wide = _piece(n, i)
+        d, gap = _edits(n), m - n
+        lo = F.greatest(F.lit(1), begin - (i - 1), begin + gap - (d + 1 - i))
+        hi = F.least(m - wide + 1, begin + (i - 1), begin + gap + (d + 1 - i))
+        places = F.when(lo <= hi, F.sequence(lo, F.greatest(lo, hi))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda p: F.struct(n.alias("n"), i.alias("i"), s.substr(p, wide).alias("piece")))
+
+    lengths = F.filter(F.sequence(F.greatest(F.lit(1), m - _edits(m)), m), lambda n: m - n <= _edits(n))
+    return F.array_distinct(F.flatten(F.transform(lengths, lambda n: F.flatten(F.transform(F.sequence(F.lit(1), _edits(n) + 1), lambda i: at(n, i))))))

@@ -32,6 +32,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores: a table in few files is dealt out, a large one is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def small(df: DataFrame, name: str, most: int = 200_000) -> tuple[DataFrame, bool]:
+    """(``df`` written down, whether it has at most ``most`` rows): what is broadcast is counted first."""
+    df = materialize(df, name)
+    return df, df.limit(most + 1).count() <= most
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a table that no frame reads any more, wherever it lies."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import patterns as P
 from ..functions import text as T
 from .detect import prefix_of
+from .graph import materialize, small
 
 #: A run of digits or of other word signs: where a bounded value stands in a text, its first run is a run of the text.
 RUN = r"(?U)\d+|[\w&&[^\d]]+"
@@ -81,30 +82,70 @@ class Replacer:
         return "".join(out) + text[last:]
 
 
-def mask(docs: DataFrame, pairs: DataFrame, text: str = "text", out: str = "masked") -> DataFrame:
+def _masked(text: str | None, pairs: dict[str, str], held: dict) -> str | None:
+    if not text or not pairs:
+        return text
+    key = frozenset(pairs.items())
+    if key not in held:
+        if len(held) > 2000:
+            held.clear()
+        held[key] = Replacer(pairs)
+    return held[key].apply(text)
+
+
+def mask(docs: DataFrame, pairs: DataFrame, text: str = "text", out: str = "masked", most: int = 200_000) -> DataFrame:
     """Every bounded occurrence of every value in its session's texts becomes its token.
 
-    docs: session_id, a text and more; pairs: session_id, value, token. Only values whose first run a document holds
-    are brought to it, by an equi-join on that run, so neither side is collected whole.
+    docs: session_id, a text and more; pairs: session_id, value, token. Only values whose first run a document holds are
+    tried on it. Up to ``most`` pairs, counted, are broadcast, and masking is one narrow pass; a larger dictionary meets
+    the documents by an equi-join on that run, so neither side is collected whole. Of a value's tokens the first counts.
     """
-    pairs = pairs.where("value != ''").withColumn("word", F.coalesce(F.nullif(F.regexp_extract("value", RUN, 0), F.lit("")), F.lit("")))
-    key = F.xxhash64(*[c for c in docs.columns if c != text], text)
-    keyed = docs.withColumn("key_", key)
+    word = F.coalesce(F.nullif(F.regexp_extract("value", RUN, 0), F.lit("")), F.lit(""))
+    pairs = pairs.where("value != ''").groupBy("session_id", "value").agg(F.min("token").alias("token"))
+    pairs, few = small(pairs.withColumn("word", word), "mask-pairs", most)
+    if few:
+        return _mask_broadcast(docs, pairs, text, out)
+    keyed = materialize(docs.withColumn("key_", F.monotonically_increasing_id()), "mask-texts")
     runs = F.array_union(F.regexp_extract_all(F.col(text), F.lit(RUN), 0), F.array(F.lit("")))
-    words = keyed.select("session_id", "key_", F.explode(F.array_distinct(runs)).alias("word")).distinct()
-    mine = words.join(pairs, ["session_id", "word"]).groupBy("session_id", "key_").agg(F.collect_set(F.struct("value", "token")).alias("pairs_"))
-    joined = keyed.join(mine, ["session_id", "key_"], "left").select(*docs.columns, "pairs_")
+    words = keyed.select("session_id", "key_", F.explode(F.array_distinct(runs)).alias("word"))
+    mine = words.join(pairs, ["session_id", "word"]).groupBy("session_id", "key_").agg(F.collect_list(F.struct("value", "token")).alias("pairs_"))
+    joined = keyed.join(mine.drop("session_id"), "key_", "left").select(*docs.columns, "pairs_")
     place, have, names = joined.columns.index(text), joined.columns.index("pairs_"), [*docs.columns, out]
 
     def run(batches):
+        held: dict = {}
         for b in batches:
-            got = [t if t is None or not p else Replacer({x["value"]: f"[{x['token']}]" for x in sorted(p, key=lambda x: x["token"])}).apply(t) for t, p in zip(b.column(place).to_pylist(), b.column(have).to_pylist())]
-            keep = [c for i, c in enumerate(b.columns) if i != have]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(got, pa.string())], names=names)
+            got = [_masked(t, {x["value"]: f"[{x['token']}]" for x in p or ()}, held) for t, p in zip(b.column(place).to_pylist(), b.column(have).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(b.columns) if i != have), pa.array(got, pa.string())], names=names)
 
     return joined.mapInArrow(run, StructType([*docs.schema.fields, StructField(out, StringType())]))
 
 
+def _mask_broadcast(docs: DataFrame, pairs: DataFrame, text: str, out: str) -> DataFrame:
+    spark = docs.sparkSession
+    table: dict = {}
+    for r in pairs.collect():
+        table.setdefault(r["session_id"], {}).setdefault(r["word"], []).append((r["value"], f"[{r['token']}]"))
+    shared = spark.sparkContext.broadcast(table)
+    place, session, names = docs.columns.index(text), docs.columns.index("session_id"), [*docs.columns, out]
+    word = re.compile(r"\d+|[^\W\d]+")
+
+    def run(batches):
+        held: dict = {}
+        for b in batches:
+            got = []
+            for t, s in zip(b.column(place).to_pylist(), b.column(session).to_pylist()):
+                words = shared.value.get(s)
+                if not t or not words:
+                    got.append(t)
+                    continue
+                there = words.keys() & {*word.findall(t), ""} if len(words) > 50 else [w for w in words if w in t]
+                got.append(_masked(t, {v: k for w in there for v, k in words[w] if v in t}, held))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string())], names=names)
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out, StringType())]))
+
+
 def restore(texts: DataFrame, values: DataFrame, text: str = "text", out: str = "restored") -> DataFrame:
     """Tokens, however loosely written, become their session's values; unknown tokens stay.
 
@@ -122,14 +163,13 @@ def restore(texts: DataFrame, values: DataFrame, text: str = "text", out: str =
 
 def aliases_resolved(aliases: DataFrame, rounds: int = 20) -> DataFrame:
     """(session_id, old_token, new_token) followed to the end; pointer jumping, so chains of 2**k need k rounds."""
-    from .graph import materialize
-
     now = aliases.select("session_id", "old_token", "new_token")
     for _ in range(rounds):
         nxt = now.select("session_id", F.col("old_token").alias("new_token"), F.col("new_token").alias("far"))
-        step = materialize(now.join(nxt, ["session_id", "new_token"], "left").select("session_id", "old_token", F.coalesce("far", "new_token").alias("new_token"), F.col("far").isNotNull().alias("moved")), "aliases")
-        now = step.select("session_id", "old_token", "new_token")
-        if not step.where("moved").limit(1).count():
+        moved = Observation()
+        step = now.join(nxt, ["session_id", "new_token"], "left").observe(moved, F.count("far").alias("n"))
+        now = materialize(step.select("session_id", "old_token", F.coalesce("far", "new_token").alias("new_token")), "aliases")
+        if not moved.get["n"]:
             break
     return now
 
@@ -139,7 +179,8 @@ def leaks(outputs: DataFrame, originals: DataFrame, limit: int | None = None) ->
 
     outputs: session_id, doc_id, text; originals: session_id, value. Candidates meet on the value's first word.
     """
-    vals = originals.where("value != ''").select("session_id", "value", F.regexp_extract("value", RUN, 0).alias("word")).distinct()
+    vals, few = small(originals.where("value != ''").select("session_id", "value", F.regexp_extract("value", RUN, 0).alias("word")).distinct(), "leak-values")
+    vals = F.broadcast(vals) if few else vals
     words = outputs.select("session_id", "doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(RUN), 0))).alias("word"))
     cand = words.join(vals, ["session_id", "word"]).select("session_id", "doc_id", "value").distinct()
     # texts meet their few candidates only, never their words

@@ -11,7 +11,7 @@ from .functions import grammar
 from .functions import text as T
 from .functions import validators as V
 from .operators import detect, entities, layout, masking, store
-from .operators.graph import shared_dir
+from .operators.graph import shared_dir, spread
 from .streaming import sessions
 
 Q: dict = {}
@@ -32,6 +32,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt out if they lie in fewer splits than there are cores."""
+    return spread(read(spark, sf_dir, "documents"))
+
+
 # ---- detection ---------------------------------------------------------------------------------------------------
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"\+[1-9][0-9]{0,2}[ -]?\(?[0-9]{1,4}\)?(?:[ -]?[0-9]{2,4}){2,4}"
@@ -108,14 +113,13 @@ def hits_rollup(spark, sf_dir):
 @query()
 def detect_all_resolved(spark, sf_dir):
     """All rules at once, overlaps resolved: one row a span."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir).select("doc_id", "text")
     return detect.exploded(detect.detect(docs)).select("doc_id", "start", "end", "type", "prio", "value")
 
 
 @query()
 def det_summary(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    found = detect.detect(docs).select("lang", F.explode("hits").alias("h"))
+    found = detect.detect(texts(spark, sf_dir).select("lang", "text"), keep=["lang"]).select("lang", F.explode("hits").alias("h"))
     return found.groupBy(F.col("h.type").alias("type"), "lang").agg(F.count("*").alias("hits"), F.sum(F.col("h.end") - F.col("h.start")).alias("chars"))
 
 
@@ -142,7 +146,7 @@ def email_token_numbering(spark, sf_dir):
 @query("SELECT doc_id, true AS same, text LIKE '%@%' AND regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}') AS changed FROM documents")
 def mask_roundtrip_check(spark, sf_dir):
     """Masked by the session's dictionary and restored, every text is itself again."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("session_id"), "text")
+    docs = texts(spark, sf_dir).select("doc_id", F.col("lang").alias("session_id"), "text")
     pairs = email_tokens(read(spark, sf_dir, "documents"))
     masked = masking.mask(docs, pairs)
     back = masking.restore(masked, pairs.select("session_id", "token", "value"), text="masked")
@@ -152,7 +156,7 @@ def mask_roundtrip_check(spark, sf_dir):
 @query(f"SELECT doc_id, count(DISTINCT value) AS leaks FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{EMAIL}')) AS value FROM documents) GROUP BY doc_id")
 def leak_check(spark, sf_dir):
     """What a leak check finds when nothing was masked: every value of the session, where it stands."""
-    docs = read(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     out = docs.select(F.col("doc_id").alias("session_id"), "doc_id", "text")
     vals = docs.select(F.col("doc_id").alias("session_id"), F.explode(F.regexp_extract_all("text", F.lit(EMAIL), 0)).alias("value"))
     return masking.leaks(out, vals).groupBy("doc_id").agg(F.count("*").alias("leaks"))
@@ -264,7 +268,7 @@ def address_key(spark, sf_dir):
 
 @query("SELECT doc_id, sha1(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS hash FROM documents")
 def place_hash(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.place_hash("text").alias("hash"))
+    return texts(spark, sf_dir).select("doc_id", T.place_hash("text").alias("hash"))
 
 
 LOOSE_SAMPLES = ("[FIO_{}]", "FIO_{}", "[FIO {}]", "[FIO-{}]", "[fio_{}]", "[ФИО_{}]", "[ ОГРНИП_{} ]")
