@@ -105,7 +105,7 @@ def test_restore_new_text(spark):
     texts = spark.createDataFrame([("s", 1, "Письмо направить [FIO_1] до пятницы. Сторона: [YUL_1], [INN_9]."), ("s", 2, "без них"), ("t", 3, None)], "session_id string, doc_id int, text string")
     values = spark.createDataFrame([("s", "FIO_1", "Белозёров Аркадий Львович"), ("s", "YUL_1", "Вектор")], "session_id string, token string, value string")
     got = {r["doc_id"]: r for r in anonymize.restore_new_text(texts, values).collect()}
-    assert got[1]["restored"] == "Письмо направить Белозёрову Аркадию Львовичу до пятницы. Сторона: Вектор, [INN_9]."
+    assert got[1]["restored"] == "Письмо направить Белозёрову Аркадию Львовичу до пятницы. Сторона: «Вектор», [INN_9]."
     assert [m["mark"] for m in got[1]["marks"]] == ["case", "exact", "unknown"]
     assert got[2]["restored"] == "без них" and got[3]["restored"] is None and got[2]["marks"] == []
 

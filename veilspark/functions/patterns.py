@@ -264,3 +264,72 @@ SURNAME_SUFFIXES = (
     (r"(ск|цк)(?:ий|ого|ому|им|ом|ая|ой|ую|ою)$", "$1"), (r"([ое]в|[иы]н)(?:а|у|ым|ой|ом|е|ою|ых)?$", "$1"),
     (r"(ич)(?:а|у|ем|е)$", "$1"),
 )
+
+# ---- Fixed values: legal forms in full and in short, and companies named by them -----------------------------------
+FULL_FORMS = (
+    r"общест\w+\s+с\s+ограниченной\s+ответственност\w+", r"общест\w+\s+с\s+дополнительной\s+ответственност\w+", r"публичн\w+\s+акционерн\w+\s+общест\w+",
+    r"непубличн\w+\s+акционерн\w+\s+общест\w+", r"закрыт\w+\s+акционерн\w+\s+общест\w+", r"открыт\w+\s+акционерн\w+\s+общест\w+", r"акционерн\w+\s+общест\w+",
+    r"полн\w+\s+товариществ\w+", r"товариществ\w+\s+на\s+вер\w+", r"крестьянск\w+\s+(?:фермерск\w+\s+)?хозяйств\w+", r"хозяйственн\w+\s+партнерств\w+",
+    r"производственн\w+\s+кооператив\w+", r"потребительск\w+\s+кооператив\w+", r"инвестиционн\w+\s+товариществ\w+", r"простое\s+товариществ\w+", r"индивидуальн\w+\s+предпринимател\w+",
+    r"федеральн\w+\s+государственн\w+\s+унитарн\w+\s+предприяти\w+", r"государственн\w+\s+(?:областн\w+\s+|унитарн\w+\s+)?унитарн\w+\s+предприяти\w+", r"муниципальн\w+\s+унитарн\w+\s+предприяти\w+",
+    r"автономн\w+\s+некоммерческ\w+\s+организаци\w+", r"некоммерческ\w+\s+партнерств\w+", r"общественн\w+\s+организаци\w+", r"общественн\w+\s+объединени\w+", r"общественн\w+\s+движени\w+",
+    r"государственн\w+\s+корпораци\w+", r"политическ\w+\s+парти\w+", r"профессиональн\w+\s+союз\w+", r"(?:благотворительн\w+\s+)?фонд\w*", r"ассоциаци\w+(?:\s+и\s+союз\w+)?",
+    r"товариществ\w+\s+собственников\s+(?:недвижимост\w+|жиль\w+)", r"садовод\w+\s+некоммерческ\w+\s+товариществ\w+", r"огородническ\w+\s+некоммерческ\w+\s+товариществ\w+",
+    r"дачн\w+\s+некоммерческ\w+\s+товариществ\w+", r"федеральн\w+\s+государственн\w+\s+(?:автономн\w+|бюджетн\w+|казенн\w+)\s+(?:научн\w+\s+|образовательн\w+\s+)?учрежден\w+",
+    r"федеральн\w+\s+(?:государственн\w+|казенн\w+)\s+учрежден\w+", r"государственн\w+\s+(?:областн\w+\s+|бюджетн\w+\s+)?учрежден\w+",
+    r"муниципальн\w+\s+(?:бюджетн\w+\s+)?(?:казенн\w+\s+)?(?:общеобразовательн\w+\s+|дошкольн\w+\s+)?учрежден\w+", r"коммерческ\w+\s+банк\w+",
+)
+SHORT_FORMS = (
+    "ООО|ПАО|НАО|ЗАО|ОАО|АО|ОДО|ОсОО|ТОО|ЖШС|ЧП|ПТ|ТНВ|КТ|КФХ|ХП|ПК|ПотК|ГУП|МУП|ФГУП|АНО|НП|НКО|ГК|КБ|ИП|ТСЖ|СНТ|ОНТ|ДНТ|ФГУ|ФГАУ|ФГБУ|ФГКУ|ФКУ|ГБУ|ГКУ|ОГУ|МКУ|ФГАОУ|"
+    "ГБУЗ|ГАУЗ|ГКУЗ|ФГБУЗ|ГБОУ|ГАОУ|ФГБОУ|МБОУ|МАОУ|МКОУ|МБДОУ|МАДОУ|МБУ|МАУ|ГАУ|ГОУ|МОУ|МОО|РОО"
+)
+ANY_FORM = "(?:" + "|".join(FULL_FORMS) + "|" + SHORT_FORMS + ")"
+FORM_AHEAD = ANY_FORM + r"\s+(?:" + ANY_FORM + r"\s+)?"
+NAMED_BY_FORM = (
+    FORM_AHEAD + r"«([^»\n]{2,80})»",
+    FORM_AHEAD + r"\"([^\"\n]{2,60}(?:\"[А-ЯЁа-яёA-Za-z0-9\s\-\.«»]{1,30})?)\"",
+    FORM_AHEAD + r"[“„‘']([^“”„‘’'\n]{2,80})[”“’']",
+    r"«([^»\n]{2,80})»\s*\(" + ANY_FORM + r"\)",
+    r"[\"“„]([^\"“”„\n]{2,80})[\"”“]\s*\(" + ANY_FORM + r"\)",
+)
+NAMED_INSIDE = r"«(?:" + SHORT_FORMS + r")\s+([А-ЯЁа-яёA-Za-z\d][А-ЯЁа-яё\w\-\s\"]{1,60}?)»"
+
+# ---- Fixed values: the older pattern table, by type; the number is the group that is the value, 0: every group is one ------
+_NO = r"(?:№|No\.?|N)\s*"
+_MONTH = r"(?:январ\w*|феврал\w*|март\w*|апрел\w*|ма[йя]\w*|июн\w*|июл\w*|август\w*|сентябр\w*|октябр\w*|ноябр\w*|декабр\w*)"
+_PHONE = r"\d{3}[ \t\u00a0\-\)\.][^\S\n]*\d{3}[ \t\u00a0\-\.]\d{2}[ \t\u00a0\-\.]\d{2}"
+_AT = (
+    r"(?:адрес(?:у|е)?|(?:проживает|зарегистрирован\w*)\s+по\s+адресу|местонахождени[яею]?|место\s+(?:нахождени[яею]?|жительств\w+|регистраци\w+)|(?:юридическ|фактическ|почтов)\w+\s+адрес\w*|"
+    r"адрес\s+(?:юридическ|физическ|места\s+нахождени[ея])\w*|(?:место\s+)?регистраци[иейю]\w*\s+(?:по\s+)?адрес\w*)\s*[:\-]?\s*"
+)
+_SON = r"(?:(?:[оеё]вич|ьич|инич|ич)(?:а|у|ем|е)?|(?:[оеё]вн|[иы]чн|иничн)(?:а|ы|е|у|ой|ою))(?![а-яё])"
+OLDER = (
+    ("ИНН", r"ИНН[^\S\n]*[:=\-]?[^\S\n]*(\d{10}|\d{12})\b", 1), ("ИНН", r"ИНН[^\S\n]*/[^\S\n]*(?:КПП|ОГРН)[^\S\n]*[:=]?[^\S\n]*(\d{10}|\d{12})[^\S\n]*/", 1),
+    ("ОГРНИП", r"ОГРН(?:[^\S\n]*ИП)?[^\S\n]*[:=]?[^\S\n]*(\d{15})\b", 1), ("ОГРНИП", r"(?<!\d)(3\d{14})(?!\d)", 1),
+    ("ОГРН", r"ОГРН[^\S\n]*[:=]?[^\S\n]*(\d{13})\b", 1), ("ОГРН", r"основной[^\S\n]+(?:государственный[^\S\n]+)?регистрационный[^\S\n]+номер[^\S\n]*[:№=]?[^\S\n]*(\d{13,15})\b", 1),
+    ("ОГРН", r"(?:ИНН|КПП)[^\S\n]*/[^\S\n]*ОГРН[^\S\n]*[:=]?[^\S\n]*\d{9,12}[^\S\n]*/[^\S\n]*(\d{13,15})\b", 1), ("ОГРН", r"(?<!\d)([15]\d{12})(?!\d)", 1),
+    ("КПП", r"КПП[^\S\n]*[:=]?[^\S\n]*(\d{9})\b", 1), ("КПП", r"ИНН[^\S\n]*/[^\S\n]*КПП[^\S\n]*[:=]?[^\S\n]*(?:\d{10}|\d{12})[^\S\n]*/[^\S\n]*(\d{9})\b", 1),
+    ("РС", r"(?:р(?:асч)?\.?[^\S\n]*/[^\S\n]*с(?:ч(?:[ёе]т)?)?\b|расч[ёе]тн\w*[^\S\n]+сч[ёе]т\w*)[^\S\n]*[:=]?[^\S\n]*" + _NO + r"?(\d{20})\b", 1), ("РС", r"(?<!\d)(4[012]\d{18})(?!\d)", 1),
+    ("КС", r"(?:к(?:ор(?:р)?)?\.?[^\S\n]*/[^\S\n]*с(?:ч(?:[ёе]т)?)?\b|корр?\.[^\S\n]*сч[ёе]т\w*|корреспондентск\w+[^\S\n]+сч[ёе]т\w*)[^\S\n]*[:=]?[^\S\n]*" + _NO + r"?(\d{20})\b", 1),
+    ("КС", r"(?<!\d)(30[1-9]\d{17})(?!\d)", 1), ("БИК", r"БИК[^\S\n]*[:=]?[^\S\n]*(\d{9})\b", 1),
+    ("СНИЛС", r"\b(\d{3}-\d{3}-\d{3}[^\S\n]+\d{2})\b", 1), ("СНИЛС", r"СНИЛС[^\S\n]*[:=]?[^\S\n]*(\d{11})\b", 1),
+    ("ПАСПОРТ", r"паспорт\w*[ \t\u00a0:;]+(?:сери[яи][^\S\n]+)?(\d{2}[^\S\n]*\d{2})[^\S\n]*,?[^\S\n]*(?:" + _NO + r")?(\d{6})\b", 0),
+    ("ПАСПОРТ", r"сери[яи][^\S\n]+(\d{2}[^\S\n]+\d{2})[,; \t\u00a0]+(?:" + _NO + r")(\d{6,9})\b", 0), ("ПАСПОРТ", r"сери[яи][^\S\n]+(\d{2,4})[^\S\n]+(?:" + _NO + r")(\d{6,9})\b", 0),
+    ("ТЕЛЕФОН", r"(?:тел[ефон.: \t\u00a0]*\.?|моб\.?[^\S\n]*[: \t\u00a0]|факс[^\S\n]*[: \t\u00a0])[^\S\n]*(\+?[78]?[ \t\u00a0\-\(]?" + _PHONE + r")\b", 1),
+    ("ТЕЛЕФОН", r"(?<!\d)(\+7[ \t\u00a0\-\(]?" + _PHONE + r")\b", 1), ("ТЕЛЕФОН", r"(?<!\d)(8[ \t\u00a0\-\(]" + _PHONE + r")\b", 1),
+    ("EMAIL", EMAIL, 1),
+    ("АДРЕС", _AT + r"(\d{6}[, \t\u00a0]+[\wА-ЯЁа-яё \t\u00a0\.,\-/№«»\"]{10,350})", 1),
+    ("АДРЕС", _AT + r"((?:(?:Р(?:оссийская[^\S\n]+)?Федерация|РФ)[, \t\u00a0]+)?г(?:ород)?\.?[^\S\n]+[\w\-]{2,30}[, \t\u00a0]+[\wА-ЯЁа-яё \t\u00a0\.,\-/№]{5,350})", 1),
+    ("АДРЕС", _AT + r"((?:ул(?:ица)?|пр(?:оспект)?|пер(?:еулок)?|бул(?:ьвар)?|наб(?:ережная)?|ш(?:оссе)?|пл(?:ощадь)?)\.?[^\S\n]+[\wА-ЯЁа-яё \t\u00a0\.\-]{2,50}[, \t\u00a0]+д(?:ом)?\.?[^\S\n]*[\w/]+[\wА-ЯЁа-яё \t\u00a0\.,\-/№]{0,100})", 1),
+    ("АДРЕС", _AT + r"([А-ЯЁа-яё][А-ЯЁа-яё\w ]{1,30}(?:область|край|республика|округ)[а-яё]*[, \t\u00a0]+[^\n]{10,300})", 1),
+    ("SWIFT", r"SWIFT[^\S\n]*[-:]?[^\S\n]*([A-Z]{4}[A-Z]{2}[A-Z0-9]{2}(?:[A-Z0-9]{3})?)\b", 1),
+    ("ФИО", r"(?-i:(?<![А-ЯЁа-яё])([А-ЯЁ][а-яё]{1,20}[^\S\n]+[А-ЯЁ][а-яё]{1,15}[^\S\n]+[А-ЯЁ][а-яё]*" + _SON + r")(?![А-ЯЁа-яё]))", 1),
+    ("ФИО", r"(?-i:(?<![А-ЯЁа-яё])([А-ЯЁ][а-яё]{2,20}[^\S\n]+[А-ЯЁ]\.[^\S\n]*[А-ЯЁ]\.)(?![А-ЯЁа-яё]))", 1),
+    ("ФИО", r"(?-i:(?<![А-ЯЁа-яёA-Za-z.])([А-ЯЁ]\.[^\S\n]*[А-ЯЁ]\.[^\S\n]+[А-ЯЁ][а-яё]{2,25})(?![А-ЯЁа-яё]))", 1),
+    ("ДАТАРОЖД", r"\b(\d{1,2}[^\S\n]+" + _MONTH + r"[^\S\n]+\d{4})[^\S\n]+(?:года?[^\S\n]+рожд\w+|рожд\w+)", 1), ("ДАТАРОЖД", r"(?:рожд[ёе]н\w*[^\S\n]+)(\d{1,2}[^\S\n]+" + _MONTH + r"[^\S\n]+\d{4})\b", 1),
+    ("ДАТАРОЖД", r"дата[^\S\n]+рождени\w+[^\S\n]*[: \t\u00a0][^\S\n]*(\d{1,2}[./]\d{1,2}[./]\d{2,4})\b", 1),
+    ("ЛИЦЕНЗИЯ", r"лицензи[яию]\w*[^\S\n]+(?:цб[^\S\n]+рф|банка[^\S\n]+росси\w+|центральн\w+[^\S\n]+банк\w+)[^\S\n]*(?:" + _NO + r")?(\d{3,6})\b", 1),
+    ("ЛИЦЕНЗИЯ", r"цб[^\S\n]+рф[^\S\n]+лицензи[яию]\w*[^\S\n]*(?:" + _NO + r")?(\d{3,6})\b", 1), ("URL", URL, 1),
+)
+#: A plate read from a picture, its region unreadable.
+PLATE_SERIES = r"(?<![0-9A-Za-zА-Яа-я])[АВЕКМНОРСТУХABEKMHOPCTYX][ ]?\d{3}[ ]?[АВЕКМНОРСТУХABEKMHOPCTYX]{2}(?![A-Za-zА-Яа-я])"

@@ -9,15 +9,11 @@ from . import lexicon as L
 from . import patterns as P
 from . import text as T
 
-# ---- Fixed values: words after which a company needs no legal form; short legal forms; what stands before file names ---
+# ---- Fixed values: words after which a company needs no legal form; what stands before file names ---
 ORG_NOUNS = (
     "компания", "общество", "организация", "фирма", "банк", "фонд", "предприятие", "учреждение", "партнерство", "товарищество", "кооператив", "группа", "холдинг", "корпорация", "контрагент",
     "ответственность", "ассоциация", "союз", "агентство", "центр", "завод", "концерн",
 )
-SHORT_FORMS = (
-    "ООО|ПАО|НАО|ЗАО|ОАО|АО|ОДО|ОсОО|ТОО|ЖШС|ЧП|ПТ|ТНВ|КТ|КФХ|ХП|ПК|ПотК|ГУП|МУП|ФГУП|АНО|НП|НКО|ГК|КБ|ИП|ТСЖ|СНТ|ОНТ|ДНТ|ФГУ|ФГАУ|ФГБУ|ФГКУ|ФКУ|ГБУ|ГКУ|ОГУ|МКУ|ФГАОУ|"
-    "ГБУЗ|ГАУЗ|ГКУЗ|ФГБУЗ|ГБОУ|ГАОУ|ФГБОУ|МБОУ|МАОУ|МКОУ|МБДОУ|МАДОУ|МБУ|МАУ|ГАУ|ГОУ|МОУ|МОО|РОО"
-)
 STEM_PREFIXES, STEM_SUFFIXES = ("anonymized_", "deanonymized_", "anon_", "deanon_"), ("_anon", "_restored", " (данные возвращены)")
 LEFT, RIGHT = 120, 60
 
@@ -41,7 +37,7 @@ def org_in_text(name, form, before, after, quotes: str = "always", forms: str =
     said = F.concat(F.lit("«"), n, F.lit("»")) if quotes == "always" else n
     last = F.element_at(F.regexp_extract_all(F.right(b, F.lit(40)), F.lit("[А-ЯЁа-яёA-Za-z]+"), 0), -1)
     last = F.when(F.right(b, F.lit(40)).rlike("[А-ЯЁа-яёA-Za-z]"), last).otherwise("")
-    told = last.rlike("^(?:" + SHORT_FORMS + ")$") | T.folded(last).rlike(L._stems(ORG_NOUNS))
+    told = last.rlike("^(?:" + P.SHORT_FORMS + ")$") | T.folded(last).rlike(L._stems(ORG_NOUNS))
     alone = (f != "") & ~told & F.lit(forms != "never")
     return F.when(n.rlike('[«"“„]') | inside, n).when(alone, F.concat(f, F.lit(" "), said)).otherwise(said)
 
@@ -49,7 +45,7 @@ def org_in_text(name, form, before, after, quotes: str = "always", forms: str =
 def legal_form_before(text, start) -> Column:
     """The short legal form right before a place, or empty."""
     left = T.left_context(text, start, 60)
-    short = F.regexp_extract(left, "(" + SHORT_FORMS + ")[^\\S\\n]*[«\"“„']?[^\\S\\n]*$", 1)
+    short = F.regexp_extract(left, "(" + P.SHORT_FORMS + ")[^\\S\\n]*[«\"“„']?[^\\S\\n]*$", 1)
     full = F.regexp_extract(left, "(?iU)((?:" + "|".join(p for p, _ in P.FORM_FULL_TO_SHORT) + ")[^«\"“„'\\n]*?)[^\\S\\n]*[«\"“„']?[^\\S\\n]*$", 1)
     return F.when(short != "", short).otherwise(T.short_form(full))
 

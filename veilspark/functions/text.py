@@ -110,9 +110,9 @@ def left_context(text, start, n: int = 60) -> Column:
     return F.substring(_c(text), F.greatest(s - n, F.lit(0)) + 1, F.least(s, F.lit(n)))
 
 
-def line_context(text, start) -> Column:
-    """From the start of the line to a place counted from 0."""
-    return F.substring_index(F.substring(_c(text), F.lit(1), _c(start)), "\n", -1)
+def line_context(text, start, more: int = 0) -> Column:
+    """From the start of the line, and ``more`` lines above, to a place counted from 0."""
+    return F.substring_index(F.substring(_c(text), F.lit(1), _c(start)), "\n", -1 - more)
 
 
 _ALL = sorted({*P.TOKEN_PREFIXES, *P.RUSSIAN_PREFIX}, key=lambda x: (-len(x), x))

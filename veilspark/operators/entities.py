@@ -48,6 +48,12 @@ def specificity(a: Column) -> Column:
     return sum((a[f].isNotNull().cast("int") for f in ("surname", "name", "patr")), F.lit(0))
 
 
+def same_form(a, b) -> Column:
+    """Two forms name the same person with as many words: an answer that only changes the case."""
+    words = lambda c: F.size(F.regexp_extract_all(c, F.lit(r"[А-ЯЁа-яёA-Za-z][А-ЯЁа-яёA-Za-z\-]*"), 0))
+    return (words(a) == words(b)) & compatible(person(a), person(b))
+
+
 def token_number(c) -> Column:
     return F.coalesce(F.regexp_extract(F.col(c), "_([0-9]+)", 1).try_cast("bigint"), F.lit(0))
 

@@ -19,7 +19,7 @@ RUN = r"(?U)\d+|[\w&&[^\d]]+"
 
 
 def number_tokens(found: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(session_id, value, type, token): new values get the next number of their prefix in order of first sight.
+    """(session_id, value, type, token, seen): new values get the next number of their prefix in order of first sight.
 
     found: session_id, value, type, seen (a sortable place). known: session_id, token, original_form, entity_type of any
     status; their numbers are never given again, and their values keep their tokens. A value found with two types keeps
@@ -36,7 +36,7 @@ def number_tokens(found: DataFrame, known: DataFrame | None = None) -> DataFrame
         first = first.withColumns({"old": F.lit(None).cast("string"), "top": F.lit(None).cast("bigint")})
     w = Window.partitionBy("session_id", "prefix").orderBy(F.col("old").isNotNull(), "seen", "value")
     token = F.coalesce("old", F.concat("prefix", F.lit("_"), (F.coalesce("top", F.lit(0)) + F.row_number().over(w)).cast("string")))
-    return first.select("session_id", "value", "type", token.alias("token"))
+    return first.select("session_id", "value", "type", token.alias("token"), "seen")
 
 
 def bounded(key: str) -> str:

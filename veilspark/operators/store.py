@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
+from ..functions import text as T
+from . import entities
+
 
 def session_counts(sessions: DataFrame, mappings: DataFrame) -> DataFrame:
     """Every session with its number of distinct active tokens, 0 without any."""
@@ -27,10 +31,24 @@ def renumber(mappings: DataFrame, order: str) -> DataFrame:
     return again.where("rn = 1").select(mappings.columns).unionByName(moved.select(mappings.columns))
 
 
-def not_excluded(found: DataFrame, exclusions: DataFrame, never: DataFrame) -> DataFrame:
-    """Finds that neither the session's exclusions nor the global list hold, by exact value and by key."""
+def not_excluded(found: DataFrame, exclusions: DataFrame, never: DataFrame | None = None) -> DataFrame:
+    """Finds that neither the session's exclusions (session_id, value, and if known type) nor the global list (value) hold.
+
+    Without a type by the exact value; with it also by the value's key, and persons by a compatible form that names at
+    least two of surname, name and patronymic.
+    """
     out = found.join(exclusions.select("session_id", "value"), ["session_id", "value"], "left_anti")
-    return out.join(never.select("value"), "value", "left_anti").select(found.columns)
+    if never is not None:
+        out = out.join(never.select("value"), "value", "left_anti")
+    if "type" in exclusions.columns and "type" in found.columns:
+        keys = exclusions.select("session_id", "type", T.value_key("value", "type").alias("key_")).distinct()
+        out = out.withColumn("key_", T.value_key("value", "type")).join(keys, ["session_id", "type", "key_"], "left_anti")
+        people = exclusions.where(F.col("type") == "ФИО").select(F.col("session_id").alias("s_"), entities.person("value").alias("p_")).where(entities.specificity(F.col("p_")) >= 2)
+        people = people.withColumn("n_", F.coalesce("p_.surname", F.lit("")))
+        me = entities.person("value")
+        out = out.withColumns({"me_": F.when(F.col("type") == "ФИО", me)}).withColumn("my_", F.coalesce("me_.surname", F.lit("")))
+        out = out.join(people, (out["session_id"] == people["s_"]) & (out["my_"] == people["n_"]) & entities.compatible(F.col("me_"), F.col("p_")), "left_anti")
+    return out.select(found.columns)
 
 
 def exclusive(always: DataFrame, never: DataFrame) -> DataFrame:
@@ -98,12 +116,6 @@ def format_code(path) -> F.Column:
     )
 
 
-def clean_stem(name) -> F.Column:
-    """A file name without folder, extension and signs that file systems refuse; at most 180 characters."""
-    stem = F.regexp_replace(F.regexp_replace(F.col(name), r"^.*[/\\]", ""), r"[.][^.]*$", "")
-    return F.left(F.trim(F.regexp_replace(stem, r'[\x00-\x1f<>:"|?*]+', "_")), F.lit(180))
-
-
 def numeric_again(text) -> F.Column:
     """A restored cell as a number if it is digits without a leading zero, under 16 of them; else null."""
     return F.when(F.col(text).rlike("^[1-9][0-9]{0,14}$"), F.col(text).try_cast("bigint"))
@@ -150,3 +162,138 @@ def first_free_name(names: DataFrame, base: str) -> DataFrame:
     w = Window.orderBy("n")  # numbers of one base name: as many as a user made on one day
     run = n.where("n >= 1").withColumn("r", F.row_number().over(w)).agg(F.coalesce(F.max(F.when(F.col("n") == F.col("r"), F.col("r"))), F.lit(0)).alias("k"))
     return run.select(F.when(F.col("k") == 0, base).otherwise(F.concat(F.lit(base + " ("), (F.col("k") + 1).cast("string"), F.lit(")"))).alias("name"))
+
+
+def merged(mappings: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Mappings after tokens were declared one: forms of ``old_token`` belong to ``new_token`` and are active.
+
+    aliases: session_id, old_token, new_token, followed to the end (``masking.aliases_resolved``).
+    """
+    out = mappings.join(aliases.select("session_id", F.col("old_token").alias("token"), "new_token"), ["session_id", "token"], "left")
+    moved = F.col("new_token").isNotNull()
+    return out.withColumns({"token": F.coalesce("new_token", "token"), "status": F.when(moved, "active").otherwise(F.col("status"))}).select(mappings.columns)
+
+
+def with_forms(mappings: DataFrame, forms: DataFrame) -> DataFrame:
+    """Mappings with further written forms of known entities: a form of the same type that is known moves to the token,
+    and is active; others are new rows. forms: session_id, token, original_form, entity_type."""
+    key = ["session_id", "original_form", "entity_type"]
+    moved = mappings.join(forms.select(*key, F.col("token").alias("to_")), key, "left")
+    moved = moved.withColumns({"token": F.coalesce("to_", "token"), "status": F.when(F.col("to_").isNotNull(), "active").otherwise(F.col("status"))}).select(mappings.columns)
+    new = forms.join(mappings.select(key), key, "left_anti").withColumn("status", F.lit("active"))
+    return moved.unionByName(new, allowMissingColumns=True)
+
+
+def without_sessions(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """All of a store's tables without the rows of deleted sessions (session_id)."""
+    return {name: t.join(gone.select("session_id").distinct(), "session_id", "left_anti") for name, t in tables.items()}
+
+
+def unexcluded(mappings: DataFrame, exclusions: DataFrame, back: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(mappings, exclusions) after tokens (session_id, token) are masked again: active, and their forms no exclusions,
+    however those are written."""
+    hit = mappings.join(back.select("session_id", "token").distinct(), ["session_id", "token"], "left_semi").where("status = 'excluded'")
+    forms = hit.select("session_id", F.col("original_form").alias("value"), F.col("entity_type").alias("type"))
+    m = mappings.join(back.select("session_id", "token", F.lit(True).alias("b_")).distinct(), ["session_id", "token"], "left")
+    m = m.withColumn("status", F.when(F.coalesce("b_", F.lit(False)) & (F.col("status") == "excluded"), "active").otherwise(F.col("status"))).select(mappings.columns)
+    return m, not_excluded(exclusions, forms)
+
+
+def replaced(mappings: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(mappings, new finds, new exclusions) after values were edited (session_id, token, value, type).
+
+    Where neither value nor type changes nothing happens. Else the old token is retired, its old value, if it changed, is
+    excluded, and the new value is a find to be numbered by ``masking.number_tokens``.
+    """
+    e = edits.select("session_id", "token", F.col("value").alias("v_"), F.col("type").alias("t_"))
+    j = mappings.join(e, ["session_id", "token"], "left")
+    changed = F.col("v_").isNotNull() & ((F.col("v_") != F.col("original_form")) | (F.col("t_") != F.col("entity_type")))
+    j = j.withColumn("c_", F.coalesce(changed, F.lit(False)))
+    out = j.withColumn("status", F.when(F.col("c_"), "replaced").otherwise(F.col("status"))).select(mappings.columns)
+    new = j.where("c_").select("session_id", F.col("v_").alias("value"), F.col("t_").alias("type")).distinct()
+    old = j.where("c_ AND v_ <> original_form").select("session_id", F.col("original_form").alias("value"), F.col("entity_type").alias("type")).distinct()
+    return out, new, old
+
+
+def forms_by_token(mappings: DataFrame) -> DataFrame:
+    """(session_id, token, entity_type, forms, status): a token's distinct forms in order, active if any of them is."""
+    return mappings.groupBy("session_id", "token").agg(
+        F.min_by("entity_type", "id").alias("entity_type"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("id", "original_form"))), lambda x: x["original_form"])).alias("forms"),
+        F.when(F.bool_or(F.col("status") == "active"), "active").otherwise(F.min_by("status", "id")).alias("status"))
+
+
+def token_counts(texts: DataFrame, text: str = "text") -> DataFrame:
+    """(token, n) over texts, in natural order of tokens."""
+    t = texts.select(F.explode(T.tokens_in(text)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return t.orderBy(F.substring_index("token", "_", 1), entities.token_number("token"))
+
+
+def reconciled(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
+    """(name, rows_before, rows_after, same): row counts of a store's tables before and after a migration."""
+    counts = [before[k].agg(F.count("*").alias("rows_before")).withColumn("name", F.lit(k)).join(after[k].agg(F.count("*").alias("rows_after")).withColumn("name", F.lit(k)), "name") for k in sorted(before)]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out.withColumn("same", F.col("rows_before") == F.col("rows_after"))
+
+
+def session_overview(sessions: DataFrame, files: DataFrame, now, days: int) -> DataFrame:
+    """Sessions with the numbers of their files, of both sections and of finished ones, and the days until they expire.
+
+    sessions: session_id, created_at; files: session_id, section (anon or restore), status.
+    """
+    anon, back, done = F.col("section") == "anon", F.col("section") == "restore", F.col("status") == "done"
+    n = files.groupBy("session_id").agg(F.count("*").alias("files"), F.count_if(anon).alias("files_anon"), F.count_if(back).alias("files_restore"), F.count_if(anon & done).alias("ready_anon"), F.count_if(back & done).alias("ready_restore"))
+    left = days - (F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("created_at")) / 86400
+    out = sessions.join(n, "session_id", "left").na.fill(0, ["files", "files_anon", "files_restore", "ready_anon", "ready_restore"])
+    return out.withColumn("expires_in_days", F.greatest(F.lit(0), (left + 0.999).cast("int")))
+
+
+def first_uploads(files: DataFrame) -> DataFrame:
+    """Uploads without exact repeats: of equal (session, section, name, size) the first added."""
+    w = Window.partitionBy("session_id", "section", "name", "size").orderBy("added")
+    return files.withColumn("rn_", F.row_number().over(w)).where("rn_ = 1").drop("rn_")
+
+
+def deduplicated_names(files: DataFrame) -> DataFrame:
+    """``files`` with ``entry``: names inside an archive; a repeat gets (n) before its extension, in order of ``added``."""
+    w = Window.partitionBy("session_id", "name").orderBy("added")
+    stem, ext = F.regexp_extract("name", r"^(.*?)([.][^.]*)?$", 1), F.regexp_extract("name", r"([.][^.]*)$", 1)
+    return files.withColumn("n_", F.row_number().over(w)).withColumn("entry", F.when(F.col("n_") == 1, F.col("name")).otherwise(F.concat(stem, F.lit(" ("), F.col("n_"), F.lit(")"), ext))).drop("n_")
+
+
+def manifest_folded(events: DataFrame) -> DataFrame:
+    """The file list after a log of edits (session_id, name, section, at, op, field, value): the last value of each field;
+    a removal forgets what was before it. ``added`` is when the entry came, or came again."""
+    key = ["session_id", "name", "section"]
+    gone = events.where("op = 'remove'").groupBy(key).agg(F.max("at").alias("gone_"))
+    live = events.where("op <> 'remove'").join(gone, key, "left").where(F.col("gone_").isNull() | (F.col("at") > F.col("gone_")))
+    last = lambda f: F.max_by("value", F.when(F.col("field") == f, F.col("at")))
+    return live.groupBy(key).agg(F.min("at").alias("added"), F.coalesce(last("status"), F.lit("new")).alias("status"), *[last(f).alias(f) for f in ("output", "extra", "error")])
+
+
+def unreferenced(outputs: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Output files (session_id, file) that no entry of the manifest names as its output or extra."""
+    named = manifest.select("session_id", F.explode(F.array("output", "extra")).alias("file")).where("file IS NOT NULL").distinct()
+    return outputs.join(named, ["session_id", "file"], "left_anti")
+
+
+def same_entity(values: DataFrame, mappings: DataFrame) -> DataFrame:
+    """(session_id, value, type, token): the token of the known entity that each value is another form of, null if none.
+
+    Numbers, companies and addresses by merge key, the lowest token of equals; persons by surname: the only compatible
+    token, or of several the most specific, if the value itself names two of surname, name and patronymic.
+    mappings: session_id, token, original_form, entity_type, status.
+    """
+    live = mappings.where("status = 'active'")
+    person = F.col("type").isin(*P.PERSON_TYPES)
+    num = entities.token_number("token")
+    keys = live.where(~F.col("entity_type").isin(*P.PERSON_TYPES)).select("session_id", F.col("entity_type").alias("type"), T.merge_key("original_form", "entity_type").alias("k"), "token")
+    keys = keys.where((F.col("k") != "") & (~F.col("type").isin(*P.ORG_TYPES) | (F.length("k") >= 4))).groupBy("session_id", "type", "k").agg(F.min_by("token", F.struct(num, "token")).alias("token"))
+    plain = values.where(~person).withColumn("k", T.merge_key("value", "type")).join(keys, ["session_id", "type", "k"], "left").select("session_id", "value", "type", "token")
+    who = live.where(F.col("entity_type").isin(*P.PERSON_TYPES)).select("session_id", "token", entities.person("original_form").alias("o")).withColumn("n", F.coalesce("o.surname", F.lit("")))
+    mine = values.where(person).withColumn("me", F.when(F.col("value").rlike("[0-9]"), None).otherwise(entities.person("value"))).withColumn("n", F.coalesce("me.surname", F.lit("")))
+    fits = mine.join(who, ["session_id", "n"]).where(entities.compatible(F.col("me"), F.col("o"))).groupBy("session_id", "value", "type", "token").agg(F.max(entities.specificity(F.col("o"))).alias("s"), F.max(entities.specificity(F.col("me"))).alias("mine"))
+    best = fits.groupBy("session_id", "value", "type").agg(F.count("*").alias("c"), F.max("mine").alias("mine"), F.max_by("token", F.struct("s", -num)).alias("token"))
+    best = best.where("c = 1 OR mine >= 2").select("session_id", "value", "type", "token")
+    return plain.unionByName(values.where(person).join(best, ["session_id", "value", "type"], "left").select("session_id", "value", "type", "token"))

@@ -504,12 +504,6 @@ def file_format_check(spark, sf_dir):
     return rows.select("o_orderkey", store.format_code("path").alias("code"))
 
 
-@query("SELECT p_partkey, 'a_b ' || p_name AS stem FROM part")
-def clean_file_stem(spark, sf_dir):
-    rows = read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit('C:\\x/a<:b '), "p_name", F.lit(".docx")).alias("name"))
-    return rows.select("p_partkey", store.clean_stem("name").alias("stem"))
-
-
 @query("SELECT o_orderkey, CASE WHEN regexp_full_match(t, '[1-9][0-9]{0,14}') THEN CAST(t AS BIGINT) END AS value FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '0' || o_orderkey WHEN 1 THEN CAST(o_orderkey AS VARCHAR) ELSE o_orderkey || 'x' END AS t FROM orders)")
 def xlsx_numeric_restore(spark, sf_dir):
     rows = read(spark, sf_dir, "orders").select("o_orderkey", F.expr("CASE o_orderkey % 3 WHEN 0 THEN concat('0', o_orderkey) WHEN 1 THEN cast(o_orderkey AS string) ELSE concat(o_orderkey, 'x') END").alias("t"))
@@ -606,8 +600,12 @@ def stream_session_tokens(spark, sf_dir):
 
 
 def queries() -> dict:
-    return Q
+    from . import golden, golden_tables
+
+    return golden.Q | golden_tables.Q | Q
 
 
 def oracle_sql() -> dict:
-    return SQL
+    from . import golden, golden_tables
+
+    return golden.SQL | golden_tables.SQL | SQL
