@@ -122,3 +122,31 @@ def test_leaks_are_not_capped(spark):
     docs = spark.createDataFrame([("s", 1, " ".join(values))], "session_id string, doc_id long, text string")
     pairs = spark.createDataFrame([("s", v) for v in values], "session_id string, value string")
     assert masking.leaks(docs, pairs).count() == 250 and masking.leaks(docs, pairs, limit=200).count() == 200
+
+
+def test_rewritten_files(spark, tmp_path):
+    from veilspark.sinks import files as out
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    docx = _zip({"word/document.xml": f"<w:document {w}><w:body><w:p><w:r><w:t>Продавец Ива</w:t></w:r><w:r><w:t>нов и всё</w:t></w:r></w:p></w:body></w:document>", "docProps/core.xml": "<c><creator>Автор</creator></c>", "word/media/x.bin": b"\x00"})
+    raw = b"{\\rtf1\\ansi\\ansicpg1251\\uc1 a \\u1048?\\u1074?\\'e0\\'ed\\'ee\\'e2 {\\b b}}"
+    rows = [("s", "a.docx", docx), ("s", "b.rtf", raw), ("s", "c.txt", "Иванов, Ивановский".encode()), ("s", "d.docx", b"bad"), ("s", "e.exe", b"x"), ("t", "f.txt", "Иванов".encode())]
+    df = spark.createDataFrame(rows, "session_id string, path string, content binary")
+    pairs = spark.createDataFrame([("s", "Иванов", "FIO_1")], "session_id string, value string, token string")
+    got = {r["path"]: (r["content"], r["error"]) for r in out.masked_files(df, pairs).collect()}
+    (tmp_path / "a.docx").write_bytes(got["a.docx"][0])
+    (tmp_path / "b.rtf").write_bytes(got["b.rtf"][0])
+    back = sorted((r["path"].rsplit("/", 1)[-1], r["kind"], r["text"]) for r in files.read_places(spark, f"file://{tmp_path}").collect())
+    assert back == [("a.docx", "paragraph", "Продавец [FIO_1] и всё"), ("b.rtf", "text", "a [FIO_1] b")]
+    with zipfile.ZipFile(io.BytesIO(got["a.docx"][0])) as z:
+        assert z.read("word/media/x.bin") == b"\x00" and "Автор" not in z.read("docProps/core.xml").decode()
+    assert got["c.txt"] == ("[FIO_1], Ивановский".encode(), None) and got["d.docx"] == (None, "BadZipFile") and got["e.exe"] == (None, "format") and got["f.txt"][0] == "Иванов".encode()
+    assert out.rtf_escape("Ж{😀") == b"{\\uc1 \\u1046?\\{\\u-10179?\\u-8704?}" and out.rtf_escape("a\\b") == b"a\\\\b"
+    assert out.fitted(["[", "FIO_1] тут"], [(0, 7, "Иванов")]) == ["", "Иванов тут"] and out.fitted(["ab", "cd"], [(1, 3, "X"), (0, 1, "Y")]) == ["YX", "d"]
+    z = out.zipped(spark.createDataFrame([("s", "b.txt", b"2"), ("s", "a.txt", b"1")], "session_id string, entry string, content binary")).first()["archive"]
+    assert [zipfile.ZipFile(io.BytesIO(z)).read(n) for n in ("a.txt", "b.txt")] == [b"1", b"2"]
+
+
+def test_write_text(spark, tmp_path):
+    files.write_text(spark.createDataFrame([("a", "one\ntwo"), ("b", "x")], "name string, text string"), f"file://{tmp_path}/t")
+    assert {(r["name"], r["value"]) for r in spark.read.text(f"file://{tmp_path}/t", wholetext=True).collect()} == {("a", "one\ntwo\n"), ("b", "x\n")}

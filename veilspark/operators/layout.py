@@ -41,15 +41,23 @@ def glued_words(words: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(texts.select("doc_id", F.col("word").alias("glued")).distinct(), ["doc_id", "glued"], "left_semi")
 
 
+def unglued(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc_id, text): converted texts with glued words (doc_id, glued, parted) parted again."""
+    table = pairs.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("glued", "parted"))).alias("m_"))
+    pieces = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"), 0)
+    fixed = F.array_join(F.transform(pieces, lambda w: F.coalesce(F.element_at("m_", w), w)), "")
+    return texts.join(table, "doc_id", "left").select("doc_id", F.when(F.col("m_").isNull(), F.col("text")).otherwise(fixed).alias("text"))
+
+
 def text_layer_ok(text, known: Column | None = None) -> Column:
     """Whether a text layer can be trusted: under 15 words always; else at most 15 % of words with a capital inside a
     word, and, given the share of Cyrillic words that are known, at least half of them."""
     t = F.col(text) if isinstance(text, str) else text
-    words = F.regexp_extract_all(t, F.lit(r"[A-Za-zА-Яа-яЁё]{2,}"), 0)
+    words = F.regexp_extract_all(t, F.lit(r"[A-Za-zА-Яа-яЁё]{3,}"), 0)
     camel = F.size(F.filter(words, lambda w: w.rlike("[a-zа-яё][A-ZА-ЯЁ]")))
     ok = camel <= 0.15 * F.size(words)
     if known is not None:
-        ok = ok & (known >= 0.5)
+        ok = ok & ((F.size(F.filter(words, lambda w: w.rlike("[А-Яа-яЁё]"))) < 15) | (known >= 0.5))
     return (F.size(words) < 15) | ok
 
 

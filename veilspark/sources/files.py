@@ -21,6 +21,8 @@ PLACES = "path string, place_no int, kind string, text string"
 TEXT, OOXML, SHEETS, RICH = ("txt", "md", "csv"), ("docx", "docm", "pptx"), ("xlsx", "xlsm"), ("rtf",)
 SKIPPED_PARTS = ("styles", "settings", "fontTable", "webSettings", "theme", "numbering")
 LEAST_SHEET_NUMBER = 100_000
+#: Elements that stand for a character.
+SIGNS = {"tab": "\t", "br": "\n", "cr": "\n", "noBreakHyphen": "-"}
 
 
 def _local(tag: str) -> str:
@@ -38,12 +40,8 @@ def paragraph_text(p: ET.Element) -> str:
                 continue
             if name == "t":
                 out.append(c.text or "")
-            elif name == "tab":
-                out.append("\t")
-            elif name in ("br", "cr"):
-                out.append("\n")
-            elif name == "noBreakHyphen":
-                out.append("-")
+            elif name in SIGNS:
+                out.append(SIGNS[name])
             else:
                 walk(c)
 
@@ -51,15 +49,18 @@ def paragraph_text(p: ET.Element) -> str:
     return "".join(out)
 
 
+def holds_text(name: str) -> bool:
+    return name.startswith(("word/", "ppt/", "xl/charts", "xl/drawings")) and not name.rsplit("/", 1)[-1].startswith(SKIPPED_PARTS)
+
+
 def ooxml_places(raw: bytes):
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         for name in sorted(z.namelist()):
-            base = name.rsplit("/", 1)[-1]
             if name.endswith(".rels"):
                 for r in ET.fromstring(z.read(name)):
                     if r.get("TargetMode") == "External":
                         yield "link", unquote(r.get("Target", ""))
-            elif name.endswith(".xml") and name.startswith(("word/", "ppt/", "docProps/", "xl/charts", "xl/drawings")) and not base.startswith(SKIPPED_PARTS):
+            elif name.endswith(".xml") and (name.startswith("docProps/") or holds_text(name)):
                 root = ET.fromstring(z.read(name))
                 if name.startswith("docProps/"):
                     for e in root.iter():
@@ -93,14 +94,16 @@ def sheet_places(raw: bytes):
                     elif e.get("t") in (None, "n") and v and re.fullmatch("-?[0-9]+", v) and abs(int(v)) >= LEAST_SHEET_NUMBER:
                         yield "number", v
                 elif tag in ("oddHeader", "oddFooter", "evenHeader", "evenFooter", "firstHeader", "firstFooter") and e.text:
-                    yield "header", e.text
+                    for part in re.split("&[LCR]", e.text):
+                        if part:
+                            yield "header", part
         for name in sorted(n for n in names if re.fullmatch(r"xl/comments[^/]*[.]xml", n)):
             for c in ET.fromstring(z.read(name)).iter():
                 if _local(c.tag) == "comment":
                     yield "comment", "".join(t.text or "" for t in c.iter() if _local(t.tag) == "t")
         if "docProps/core.xml" in names:
             for e in ET.fromstring(z.read("docProps/core.xml")).iter():
-                if not len(e) and _local(e.tag) in ("creator", "title", "subject", "lastModifiedBy") and e.text:
+                if not len(e) and _local(e.tag) in ("creator", "title", "subject", "lastModifiedBy", "description", "keywords") and e.text:
                     yield "property", e.text
 
 
@@ -109,9 +112,10 @@ RTF_HIDDEN = ("fonttbl", "colortbl", "stylesheet", "info", "pict", "object", "th
 RTF_CHARS = {"par": "\n", "line": "\n", "tab": "\t", "cell": "\t", "row": "\n", "emdash": "—", "endash": "–", "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”", "bullet": "•", "nbsp": "\xa0"}
 
 
-def rtf_text(raw: bytes) -> str:
-    """Text of an RTF file: code pages, Unicode escapes with their fallbacks, hidden groups left out."""
-    out: list[str] = []
+def rtf_chars(raw: bytes) -> list[tuple[str, int, int]]:
+    """(character, first byte, byte after) of an RTF file's text: code pages, Unicode escapes with their fallbacks, hidden
+    groups left out, addresses of links read."""
+    out: list[tuple[str, int, int]] = []
     stack: list[tuple[bool, int]] = []
     hidden, fallback, skip, page = False, 1, 0, "cp1252"
     for m in RTF.finditer(raw):
@@ -127,23 +131,32 @@ def rtf_text(raw: bytes) -> str:
                 page = f"cp{n}"
             elif name == "uc":
                 fallback = n if n is not None else 1
+            elif name == "fldinst":
+                hidden = False
             elif name in RTF_HIDDEN:
                 hidden = True
             elif name == "u" and n is not None:
                 if not hidden:
-                    out.append(chr(n % 65536))
+                    out.append((chr(n % 65536), m.start(), m.end()))
                 skip = fallback
             elif name in RTF_CHARS and not hidden:
-                out.append(RTF_CHARS[name])
+                out.append((RTF_CHARS[name], m.start(), m.end()))
         elif sign == b"*":
             hidden = True
         elif byte or char or sign:
             if skip:
                 skip -= 1
+                if out:
+                    out[-1] = (out[-1][0], out[-1][1], m.end())
             elif not hidden:
                 got = bytes([int(byte, 16)]) if byte else char or (sign if sign in b"\\{}" else {b"~": b"\xa0", b"_": b"-"}.get(sign, b""))
-                out.append(got.decode(page, "replace"))
-    return "".join(out).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+                out += [(c, m.start(), m.end()) for c in got.decode(page, "replace")]
+    return out
+
+
+def rtf_text(raw: bytes) -> str:
+    """Text of an RTF file; halves of one character are joined."""
+    return "".join(c for c, _, _ in rtf_chars(raw)).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
 def places_of(ext: str, raw: bytes):
@@ -182,6 +195,6 @@ def full_text(places: DataFrame, meta: bool = True) -> DataFrame:
     return rows.groupBy("path").agg(joined.alias("text"))
 
 
-def write_text(docs: DataFrame, path: str) -> None:
-    """Masked or restored texts as Parquet rows by path, ready to be written back to files."""
-    docs.write.mode("overwrite").parquet(path)
+def write_text(docs: DataFrame, path: str, name: str = "name", text: str = "text") -> None:
+    """Masked or restored texts as text files, a folder a document; a document's lines stay in order in one file."""
+    docs.select(name, F.col(text).alias("value")).write.mode("overwrite").partitionBy(name).text(path)
