@@ -36,3 +36,17 @@ def test_sweep_deletes_what_was_written(spark):
     df = graph.materialize(spark.range(5), "sweep-me")
     path = df.inputFiles()[0].removeprefix("file:").replace("//", "/")
     assert os.path.exists(path) and graph.sweep(spark) > 0 and not os.path.exists(path)
+
+
+def test_numbers_follow_the_order(spark):
+    """A key that holds nearly all rows, null keys, ties in other columns and structs as order."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    rows = [("hot" if i % 20 else rng.choice(["a", None]), rng.randrange(10**6), i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k string, v int, i int").repartition(7)
+    got = graph.numbered(df, ["k"], [F.struct("v", "i")], "n").collect()
+    for k in ("hot", "a", None):
+        want = sorted((v, i) for kk, v, i in rows if kk == k)
+        assert [(r["v"], r["i"]) for r in sorted((r for r in got if r["k"] == k), key=lambda r: r["n"])] == want
+        assert sorted(r["n"] for r in got if r["k"] == k) == list(range(1, len(want) + 1))

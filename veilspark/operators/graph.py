@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _written: dict[str, list[str]] = {}
@@ -44,6 +44,25 @@ def small(df: DataFrame, name: str, most: int = 200_000) -> tuple[DataFrame, boo
     return df, df.limit(most + 1).count() <= most
 
 
+def numbered(df: DataFrame, keys: list[str], order: list, out: str) -> DataFrame:
+    """``df`` with each row's number among those of its keys in this order, from 1.
+
+    Rows are dealt by ranges of keys and order, numbered inside a range, and a range's rows come after those of the ranges
+    before it; so a key that holds most of the rows is spread like all others, and sums are over a row a range and key.
+    """
+    ranged = df.withColumns({f"o{i}_": o if not isinstance(o, str) else F.col(o) for i, o in enumerate(order)})
+    by = [f"o{i}_" for i in range(len(order))]
+    ranged = materialize(ranged.repartitionByRange(*keys, *by).withColumn("range_", F.spark_partition_id()), "numbered")
+    counts = ranged.groupBy(*keys, "range_").agg(F.count("*").alias("n_"))
+    before = counts.withColumn("before_", F.coalesce(F.sum("n_").over(Window.partitionBy(*keys).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n_")
+    inside = ranged.withColumn("in_", F.row_number().over(Window.partitionBy("range_", *keys).orderBy(*by)))
+    same = F.lit(True)
+    right = before.select(*[F.col(k).alias(f"k{i}_") for i, k in enumerate([*keys, "range_"])], "before_")
+    for i, k in enumerate([*keys, "range_"]):
+        same = same & F.col(k).eqNullSafe(F.col(f"k{i}_"))
+    return inside.join(right, same).select(*df.columns, (F.col("before_") + F.col("in_")).alias(out))
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a table that no frame reads any more, wherever it lies."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

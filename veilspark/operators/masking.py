@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..functions import patterns as P
 from ..functions import text as T
 from .detect import prefix_of
-from .graph import materialize, small
+from .graph import materialize, numbered, small
 
 #: A run of digits or of other word signs: where a bounded value stands in a text, its first run is a run of the text.
 RUN = r"(?U)\d+|[\w&&[^\d]]+"
@@ -34,8 +34,8 @@ def number_tokens(found: DataFrame, known: DataFrame | None = None) -> DataFrame
         first = first.join(have, ["session_id", "value", "type"], "left").join(top, ["session_id", "prefix"], "left")
     else:
         first = first.withColumns({"old": F.lit(None).cast("string"), "top": F.lit(None).cast("bigint")})
-    w = Window.partitionBy("session_id", "prefix").orderBy(F.col("old").isNotNull(), "seen", "value")
-    token = F.coalesce("old", F.concat("prefix", F.lit("_"), (F.coalesce("top", F.lit(0)) + F.row_number().over(w)).cast("string")))
+    first = numbered(first, ["session_id", "prefix"], [F.col("old").isNotNull(), "seen", "value"], "n_")
+    token = F.coalesce("old", F.concat("prefix", F.lit("_"), (F.coalesce("top", F.lit(0)) + F.col("n_")).cast("string")))
     return first.select("session_id", "value", "type", token.alias("token"), "seen")
 
 

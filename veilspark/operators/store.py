@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as T
 from . import entities
+from .graph import numbered
 
 
 def session_counts(sessions: DataFrame, mappings: DataFrame) -> DataFrame:
@@ -26,8 +27,7 @@ def renumber(mappings: DataFrame, order: str) -> DataFrame:
     w = Window.partitionBy("session_id", "prefix", "n").orderBy(order)
     again = mappings.withColumn("rn", F.row_number().over(w))
     top = mappings.groupBy("session_id", "prefix").agg(F.max("n").alias("top"))
-    k = Window.partitionBy("session_id", "prefix").orderBy(order)
-    moved = again.where("rn > 1").withColumn("k", F.row_number().over(k)).join(top, ["session_id", "prefix"]).withColumn("n", F.col("top") + F.col("k"))
+    moved = numbered(again.where("rn > 1"), ["session_id", "prefix"], [order], "k").join(top, ["session_id", "prefix"]).withColumn("n", F.col("top") + F.col("k"))
     return again.where("rn = 1").select(mappings.columns).unionByName(moved.select(mappings.columns))
 
 
