@@ -55,22 +55,22 @@ def finds_sql(pattern: str, table: str = "documents", key: str = "doc_id", text:
 
 @query(finds_sql(EMAIL))
 def detect_email(spark, sf_dir):
-    return finds(read(spark, sf_dir, "documents"), EMAIL)
+    return finds(texts(spark, sf_dir), EMAIL)
 
 
 @query(finds_sql(PHONE))
 def detect_phone_intl(spark, sf_dir):
-    return finds(read(spark, sf_dir, "documents"), PHONE)
+    return finds(texts(spark, sf_dir), PHONE)
 
 
 @query(finds_sql("[0-9]+"))
 def detect_digit_runs(spark, sf_dir):
-    return finds(read(spark, sf_dir, "documents"), "[0-9]+")
+    return finds(texts(spark, sf_dir), "[0-9]+")
 
 
 @query(finds_sql(IPV4))
 def detect_ipv4_ext(spark, sf_dir):
-    return finds(read(spark, sf_dir, "documents"), IPV4)
+    return finds(texts(spark, sf_dir), IPV4)
 
 
 @query(finds_sql(EMAIL, "pages", "page_id", "html"))
@@ -83,7 +83,7 @@ LUHN_SQL = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN
 
 @query(f"SELECT doc_id, d AS value, length(d) BETWEEN 13 AND 19 AND {LUHN_SQL} AS valid FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS d FROM documents) WHERE length(d) BETWEEN 10 AND 25")
 def luhn_on_digit_runs(spark, sf_dir):
-    runs = finds(read(spark, sf_dir, "documents"), "[0-9]+").where(F.length("value").between(10, 25))
+    runs = finds(texts(spark, sf_dir), "[0-9]+").where(F.length("value").between(10, 25))
     return runs.select("doc_id", "value", V.luhn("value").alias("valid"))
 
 
@@ -101,12 +101,12 @@ BY_CLASS_SQL = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{k}' AS type,
 
 @query(f"SELECT type, lang, source, count(*) AS hits, count(DISTINCT value) AS entities FROM ({BY_CLASS_SQL}) GROUP BY ALL")
 def hits_by_type_lang_source(spark, sf_dir):
-    return by_class(read(spark, sf_dir, "documents")).groupBy("type", "lang", "source").agg(F.count("*").alias("hits"), F.count_distinct("value").alias("entities"))
+    return by_class(texts(spark, sf_dir)).groupBy("type", "lang", "source").agg(F.count("*").alias("hits"), F.count_distinct("value").alias("entities"))
 
 
 @query(f"SELECT coalesce(type, 'TOTAL') AS type, coalesce(lang, 'TOTAL') AS lang, count(*) AS hits FROM ({BY_CLASS_SQL}) GROUP BY ROLLUP (type, lang)")
 def hits_rollup(spark, sf_dir):
-    rows = by_class(read(spark, sf_dir, "documents")).rollup("type", "lang").agg(F.count("*").alias("hits"))
+    rows = by_class(texts(spark, sf_dir)).rollup("type", "lang").agg(F.count("*").alias("hits"))
     return rows.select(F.coalesce("type", F.lit("TOTAL")).alias("type"), F.coalesce("lang", F.lit("TOTAL")).alias("lang"), "hits")
 
 
@@ -126,7 +126,7 @@ def det_summary(spark, sf_dir):
 # ---- masking -----------------------------------------------------------------------------------------------------
 @query(f"SELECT doc_id, sha256(regexp_replace(text, '{EMAIL}', '[EMAIL]', 'g')) AS masked_sha256 FROM documents")
 def mask_documents(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.regexp_replace("text", EMAIL, "[EMAIL]"), 256).alias("masked_sha256"))
+    return texts(spark, sf_dir).select("doc_id", F.sha2(F.regexp_replace("text", EMAIL, "[EMAIL]"), 256).alias("masked_sha256"))
 
 
 TOKENS_SQL = f"""SELECT lang AS session_id, value, 'EMAIL_' || row_number() OVER (PARTITION BY lang ORDER BY seen, value) AS token FROM (
@@ -140,14 +140,14 @@ def email_tokens(docs: DataFrame) -> DataFrame:
 
 @query(TOKENS_SQL)
 def email_token_numbering(spark, sf_dir):
-    return email_tokens(read(spark, sf_dir, "documents")).select("session_id", "value", "token")
+    return email_tokens(texts(spark, sf_dir)).select("session_id", "value", "token")
 
 
 @query(f"SELECT doc_id, sha256(text) AS restored_sha256, CAST(len(regexp_extract_all(text, '{EMAIL}')) AS BIGINT) AS tokens FROM documents")
 def mask_roundtrip_check(spark, sf_dir):
     """Masked by the session's dictionary every address is a token; restored, every text is itself again."""
     docs = texts(spark, sf_dir).select("doc_id", F.col("lang").alias("session_id"), "text")
-    pairs = email_tokens(read(spark, sf_dir, "documents"))
+    pairs = email_tokens(texts(spark, sf_dir))
     masked = masking.mask(docs, pairs)
     back = masking.restore(masked, pairs.select("session_id", "token", "value"), text="masked")
     return back.select("doc_id", F.sha2("restored", 256).alias("restored_sha256"), F.size(T.tokens_in("masked")).cast("long").alias("tokens"))
@@ -222,19 +222,19 @@ def keyword_length_window(spark, sf_dir):
 # ---- contexts and keys -------------------------------------------------------------------------------------------
 @query("SELECT doc_id, substr(text, greatest(p - 61, 0) + 1, least(p - 1, 60)) AS before FROM (SELECT doc_id, text, strpos(text, '@') AS p FROM documents) WHERE p > 0")
 def left_context(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select("doc_id", "text", F.instr("text", "@").alias("p")).where("p > 0")
+    rows = texts(spark, sf_dir).select("doc_id", "text", F.instr("text", "@").alias("p")).where("p > 0")
     return rows.select("doc_id", T.left_context("text", F.col("p") - 1).alias("before"))
 
 
 @query("SELECT doc_id, list_extract(string_split(substr(text, 1, p - 1), chr(10)), -1) AS before FROM (SELECT doc_id, text, strpos(text, '@') AS p FROM documents) WHERE p > 0")
 def line_context(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select("doc_id", "text", F.instr("text", "@").alias("p")).where("p > 0")
+    rows = texts(spark, sf_dir).select("doc_id", "text", F.instr("text", "@").alias("p")).where("p > 0")
     return rows.select("doc_id", T.line_context("text", F.col("p") - 1).alias("before"))
 
 
 @query("SELECT doc_id, regexp_matches(substr(text, greatest(p - 26, 0) + 1, least(p - 1, 25)), '[0-9]') AS digits_near FROM (SELECT doc_id, text, strpos(text, '@') AS p FROM documents) WHERE p > 0")
 def context_predicate(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select("doc_id", "text", F.instr("text", "@").alias("p")).where("p > 0")
+    rows = texts(spark, sf_dir).select("doc_id", "text", F.instr("text", "@").alias("p")).where("p > 0")
     return rows.select("doc_id", T.left_context("text", F.col("p") - 1, 25).rlike("[0-9]").alias("digits_near"))
 
 
@@ -450,7 +450,7 @@ def word_multiset_diff(spark, sf_dir):
 
 @query("SELECT doc_id, CAST(s AS BIGINT) AS start, CAST(CASE WHEN n <= 3500 THEN n ELSE least(3000, n - s) END AS BIGINT) AS chars FROM (SELECT doc_id, length(text) AS n, unnest(CASE WHEN length(text) <= 3500 THEN [0] ELSE range(0, length(text) - 150, 2850) END) AS s FROM documents)")
 def chunk_windows(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(T.windows("text")).alias("w"))
+    rows = texts(spark, sf_dir).select("doc_id", F.explode(T.windows("text")).alias("w"))
     return rows.select("doc_id", F.col("w.start").cast("long").alias("start"), F.length("w.piece").cast("long").alias("chars"))
 
 
@@ -523,7 +523,7 @@ def occurrence_forms(spark, sf_dir):
 
 @query("SELECT value, min(doc_id) AS doc_id FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS value FROM documents) WHERE length(value) >= 3 GROUP BY value")
 def split_lines_first_wins(spark, sf_dir):
-    lines = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("value")).where(F.length("value") >= 3)
+    lines = texts(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("value")).where(F.length("value") >= 3)
     return store.first_wins(lines, "value", "doc_id")
 
 
@@ -576,7 +576,7 @@ def target_case(spark, sf_dir):
 @query("SELECT doc_id, CAST(count(*) AS BIGINT) AS blocks_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) FROM documents) GROUP BY 1")
 def pack_blocks(spark, sf_dir):
     """Lines packed into blocks; the blocks hold every line once."""
-    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     blocks = layout.packed_blocks(lines, 3000)
     return blocks.groupBy("doc_id").agg(F.sum(F.size(F.split("text", "\n"))).cast("long").alias("blocks_lines"))
 
