@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from veilspark import golden, golden_tables
+from veilspark import golden, golden_files, golden_tables  # noqa: F401
 
 BOTH = golden.Q | golden_tables.Q
 SQL = golden.SQL | golden_tables.SQL

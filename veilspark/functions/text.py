@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -127,6 +129,12 @@ def token_of(found) -> Column:
     return F.concat(F.coalesce(table[name], name), F.lit("_"), F.regexp_extract(m, "([0-9]+)", 1).cast("bigint").cast("string"))
 
 
+def token_name(found: str) -> str:
+    """``token_of`` of one token outside of columns."""
+    m = re.search(f"({'|'.join(_ALL)})" + r"\D*(\d+)", found.upper())
+    return f"{P.RUSSIAN_PREFIX.get(m[1], m[1])}_{int(m[2])}"
+
+
 def tokens_in(text) -> Column:
     """Canonical tokens of a text, in order."""
     return F.transform(F.regexp_extract_all(_c(text), F.lit(LOOSE), 0), token_of)

@@ -594,12 +594,12 @@ def stream_session_tokens(spark, sf_dir):
 
 
 def queries() -> dict:
-    from . import golden, golden_tables
+    from . import golden, golden_files, golden_tables  # noqa: F401
 
     return golden.Q | golden_tables.Q | Q
 
 
 def oracle_sql() -> dict:
-    from . import golden, golden_tables
+    from . import golden, golden_files, golden_tables  # noqa: F401
 
     return golden.SQL | golden_tables.SQL | SQL

@@ -15,12 +15,13 @@ from xml.etree import ElementTree as ET
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-PLACES = "path string, place_no int, kind string, text string"
 # The extensions that can be read.
 TEXT, OOXML, SHEETS, RICH = ("txt", "md", "csv"), ("docx", "docm", "pptx"), ("xlsx", "xlsm"), ("rtf",)
 SKIPPED_PARTS = ("styles", "settings", "fontTable", "webSettings", "theme", "numbering")
 LEAST_SHEET_NUMBER = 100_000
+HEADERS = ("oddHeader", "oddFooter", "evenHeader", "evenFooter", "firstHeader", "firstFooter")
 #: Elements that stand for a character.
 SIGNS = {"tab": "\t", "br": "\n", "cr": "\n", "noBreakHyphen": "-"}
 
@@ -72,6 +73,10 @@ def ooxml_places(raw: bytes):
                             yield "paragraph", t
 
 
+def whole_number(v: str | None) -> bool:
+    return bool(v) and re.fullmatch("-?[0-9]+", v) is not None and abs(int(v)) >= LEAST_SHEET_NUMBER
+
+
 def sheet_places(raw: bytes):
     """Sheet names, text cells, whole numbers of six digits and more, comments, headers and footers, properties."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
@@ -91,9 +96,9 @@ def sheet_places(raw: bytes):
                         yield "cell", words[int(v)]
                     elif e.get("t") == "inlineStr":
                         yield "cell", "".join(x.text or "" for x in e.iter() if _local(x.tag) == "t")
-                    elif e.get("t") in (None, "n") and v and re.fullmatch("-?[0-9]+", v) and abs(int(v)) >= LEAST_SHEET_NUMBER:
+                    elif e.get("t") in (None, "n") and whole_number(v):
                         yield "number", v
-                elif tag in ("oddHeader", "oddFooter", "evenHeader", "evenFooter", "firstHeader", "firstFooter") and e.text:
+                elif tag in HEADERS and e.text:
                     for part in re.split("&[LCR]", e.text):
                         if part:
                             yield "header", part
@@ -170,29 +175,54 @@ def places_of(ext: str, raw: bytes):
         yield "text", rtf_text(raw)
 
 
-def read_places(spark: SparkSession, path: str) -> DataFrame:
-    """All places of the files under a path, in order; files of other kinds have none."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+def places(files: DataFrame) -> DataFrame:
+    """All places of files (path, content and more), in order, beside their other columns; files of other kinds have none,
+    a null or broken file has one of kind ``error``."""
+    kept = [c for c in files.columns if c not in ("content", "place_no", "kind", "text")]
+    rows = files.select(*kept, "content")
+    at = kept.index("path")
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                name = b.column(0)[i].as_py()
                 try:
-                    got = list(places_of(name.rsplit(".", 1)[-1].lower(), b.column(1)[i].as_py()))
-                except (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError, IndexError, LookupError) as e:
+                    got = list(places_of(b.column(at)[i].as_py().rsplit(".", 1)[-1].lower(), b.column(len(kept))[i].as_py()))
+                except (zipfile.BadZipFile, ET.ParseError, AttributeError, TypeError, KeyError, ValueError, IndexError, LookupError) as e:
                     got = [("error", type(e).__name__)]
                 n = len(got)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array([k for k, _ in got], pa.string()), pa.array([t for _, t in got], pa.string())], names=["path", "place_no", "kind", "text"])
+                same = [b.column(k).take(pa.array([i] * n, pa.int32())) for k in range(len(kept))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(range(n), pa.int32()), pa.array([k for k, _ in got], pa.string()), pa.array([t for _, t in got], pa.string())], names=[*kept, "place_no", "kind", "text"])
+
+    new = [StructField("place_no", IntegerType()), StructField("kind", StringType()), StructField("text", StringType())]
+    return rows.mapInArrow(run, StructType([*[rows.schema[c] for c in kept], *new]))
+
+
+def char_spans(files: DataFrame) -> DataFrame:
+    """Where each character of RTF files (path, content and more) stands in its file's bytes: the files' columns and n,
+    char, start, stop (end exclusive)."""
+    def run(batches):
+        at = None
+        for b in batches:
+            at = b.schema.get_field_index("content") if at is None else at
+            for i in range(b.num_rows):
+                got = rtf_chars(b.column(at)[i].as_py() or b"")
+                same = [c.take(pa.array([i] * len(got), pa.int32())) for c in b.columns]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(range(len(got)), pa.int32()), pa.array([c for c, _, _ in got], pa.string()), pa.array([a for _, a, _ in got], pa.int32()), pa.array([e for _, _, e in got], pa.int32())], names=[*b.schema.names, "n", "char", "start", "stop"])
 
-    return files.mapInArrow(run, PLACES)
+    new = [StructField("n", IntegerType()), StructField("char", StringType()), StructField("start", IntegerType()), StructField("stop", IntegerType())]
+    return files.mapInArrow(run, StructType([*files.schema.fields, *new]))
+
+
+def read_places(spark: SparkSession, path: str) -> DataFrame:
+    """(path, place_no, kind, text): all places of the files under a path."""
+    return places(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content"))
 
 
-def full_text(places: DataFrame, meta: bool = True) -> DataFrame:
-    """(path, text): a file's places joined by line breaks in order; without metadata if so asked."""
+def full_text(places: DataFrame, meta: bool = True, keys: tuple[str, ...] = ("path",)) -> DataFrame:
+    """(keys, text): a file's places joined by line breaks in order; without metadata if so asked."""
     rows = places if meta else places.where(~F.col("kind").isin("property", "link", "sheet", "comment", "header"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place_no", "text"))), lambda x: x["text"]), "\n")
-    return rows.groupBy("path").agg(joined.alias("text"))
+    return rows.groupBy(*keys).agg(joined.alias("text"))
 
 
 def write_text(docs: DataFrame, path: str, name: str = "name", text: str = "text") -> None:
