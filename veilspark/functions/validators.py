@@ -100,3 +100,31 @@ def keyword_length(keyword, number) -> Column:
     for word, (lo, hi) in KEYWORD_LENGTHS.items():
         ok = ok | ((k == word) & n.between(lo, hi))
     return _sure(ok)
+
+
+def _check(total: Column, modulus: int = 11) -> Column:
+    return (total % modulus % 10).cast("string")
+
+
+def completed(kind: str, body) -> Column:
+    """A number's body with its check digits, so that it is valid: inn10 (9 digits), inn12 (10), ogrn (12), ogrnip (14),
+    snils (9, written with its signs). For test tables."""
+    b = _col(body)
+    if kind == "inn10":
+        return F.concat(b, _check(weighted(b, W_INN10)))
+    if kind == "inn12":
+        first = F.concat(b, _check(weighted(b, W_INN12_FIRST)))
+        return F.concat(first, _check(weighted(first, W_INN12_SECOND)))
+    if kind in ("ogrn", "ogrnip"):
+        return F.concat(b, _check(b.cast("bigint"), 11 if kind == "ogrn" else 13))
+    rest = weighted(b, range(9, 0, -1)) % 101
+    return F.concat_ws("-", F.substring(b, 1, 3), F.substring(b, 4, 3), F.concat(F.substring(b, 7, 3), F.lit(" "), F.lpad(F.when(rest == 100, 0).otherwise(rest).cast("string"), 2, "0")))
+
+
+def completed_account(body, bik) -> Column:
+    """An account of 20 digits whose ninth, the key, agrees with the bank's code."""
+    a, b = digits(body), digits(bik)
+    blank = F.concat(F.substring(a, 1, 8), F.lit("0"), F.substring(a, 10, 11))
+    whole = F.concat(F.when(F.substring(a, 1, 3) == "301", F.concat(F.lit("0"), F.substring(b, 5, 2))).otherwise(F.substring(b, 7, 3)), blank)
+    key = weighted(whole, [W_ACCOUNT[i % 3] for i in range(23)]) * 3 % 10
+    return F.concat(F.substring(a, 1, 8), key.cast("string"), F.substring(a, 10, 11))

@@ -318,6 +318,48 @@ def review_proposals(s):
     return review.review(s.rows(REVIEWED, MAPPINGS), s.rows([(TEXT,)], "text string"), s.rows([(TEXT,)], "text string"), model)
 
 
+@known("op token into value into_value type", [("remove", "FIO_1", None, "ЦЕНА И ПОРЯДОК", None, "ФИО"), ("merge", "FIO_1", "FIO_2", "ЦЕНА И ПОРЯДОК", "Иванов", "ФИО"), ("add", None, None, "Сидоров", None, "ФИО")])
+def proposals_shown(s):
+    """Proposals with their tokens' values; those of tokens that are gone aren't shown."""
+    rows = [("remove", "FIO_1", None, None, "ФИО"), ("remove", "FIO_9", None, None, "ФИО"), ("merge", "FIO_1", "FIO_2", None, "ФИО"), ("merge", "FIO_1", "FIO_9", None, "ФИО"), ("add", None, None, "Сидоров", "ФИО")]
+    kept = s.rows([(1, "FIO_1", "ЦЕНА И ПОРЯДОК"), (2, "FIO_2", "Иванов"), (3, "FIO_2", "Иванову")], "id long, token string, original_form string")
+    return review.shown(s.rows(rows, "op string, token string, into string, value string, type string"), kept)
+
+
+@known("value token apart_from", [("Иванов Пётр Сергеевич", "FIO_1", None), ("Иванова П.С.", "FIO_1", None), ("Петрова Анна Юрьевна", "FIO_4", "FIO_3"), ("Сидоров", "FIO_5", None)])
+def add_value(s):
+    """A value with a row, another form of an entity, one to be kept apart, and a new one."""
+    rows = [("Иванов Пётр Сергеевич", "ФИО", True, 1), ("Иванова П.С.", "ФИО", False, 2), ("Петрова Анна Юрьевна", "ФИО", True, 3), ("Сидоров", "ФИО", False, 4)]
+    return store.taken(s.rows(rows, "value string, type string, separate boolean, seen long"), s.rows(PEOPLE, MAPPINGS))
+
+
+@known("mark value n place", [("unknown", "FIO_9", "1", "1"), ("case", "Иванову", "2", "2"), ("exact", "a", "1", "3"), ("exact", "b", "1", "4")])
+def restored_marks_in_order(s):
+    return store.marks_in_order(s.rows([("exact", "b", 9), ("case", "Иванову", 5), ("exact", "a", 1), ("unknown", "FIO_9", 30), ("case", "Иванову", 2)], "mark string, value string, pos int"), "session_id")
+
+
+SETTINGS = "org_quotes org_opf highlight_case pdf_to_word keep_pdf retention_days use_llm"
+
+
+@known("i " + SETTINGS, [("0", "keep", "never", "false", "true", "true", "90", "true"), ("1", "always", "context", "true", "true", "false", "30", "false"), ("2", "always", "context", "true", "true", "false", "30", "false"), ("3", "always", "context", "true", "true", "false", "7", "false")])
+def settings_read(s):
+    """Settings from JSON: whole, broken, null, and of wrong types or values."""
+    whole = '{"org_quotes": "keep", "org_opf": "never", "highlight_case": false, "keep_pdf": true, "retention_days": 90, "use_llm": true}'
+    bodies = [(0, whole), (1, '{"org_quotes": '), (2, None), (3, '{"org_quotes": "no", "highlight_case": "false", "keep_pdf": 1, "retention_days": 7, "use_llm": null, "x": 1}')]
+    return tables.settings(s.rows(bodies, "i int, body string"))
+
+
+@known("entity_type automatic proposed", [("ТЕЛЕФОН", "1", "0"), ("ЮЛ", "0", "1")])
+def audit_by_type(s):
+    """Groups made by rule and pairs left to a person, by kind."""
+    rows = [(1, "TEL_1", "+7 (912) 345-67-89", "ТЕЛЕФОН", "active"), (2, "TEL_2", "89123456789", "ТЕЛЕФОН", "active"), (3, "YUL_1", "Вектор Трейд", "ЮЛ", "active"), (4, "YUL_2", "Вектор Трайд", "ЮЛ", "active")]
+    m = s.rows(rows, MAPPINGS).withColumn("session_id", F.col("session_id").cast("string"))
+    got = store.audit(m)
+    n = s.ids.agg(F.count("*").alias("n"))
+    each = got.crossJoin(F.broadcast(n)).select("entity_type", (F.col("automatic") / F.col("n")).cast("long").alias("automatic"), (F.col("proposed") / F.col("n")).cast("long").alias("proposed"))
+    return s.ids.crossJoin(F.broadcast(each))
+
+
 # ---- quality ---------------------------------------------------------------------------------------------------------------
 def _bench_results() -> list[tuple]:
     n: dict[str, int] = {}

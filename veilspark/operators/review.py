@@ -93,3 +93,12 @@ def review(mappings: DataFrame, texts: DataFrame, masked: DataFrame, model: Call
     """Proposals for a person to judge, from one model request a batch."""
     found = entries(mappings, texts)
     return proposals(found, model(requests(found, blocks(masked))), masked, mappings)
+
+
+def shown(proposed: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Proposals with the values of their tokens beside them; those of tokens that a session no longer has go."""
+    forms = mappings.groupBy("session_id", "token").agg(F.min_by("original_form", "id").alias("form"))
+    first = proposed.join(forms.withColumnRenamed("form", "token_value"), ["session_id", "token"], "left")
+    both = first.join(forms.withColumnsRenamed({"token": "into", "form": "into_value"}), ["session_id", "into"], "left")
+    whole = F.when(F.col("op") == "add", F.lit(True)).when(F.col("op") == "merge", F.col("token_value").isNotNull() & F.col("into_value").isNotNull()).otherwise(F.col("token_value").isNotNull())
+    return both.where(whole).select("session_id", "op", "token", "into", F.coalesce("token_value", "value").alias("value"), "into_value", "type")

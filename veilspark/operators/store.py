@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from . import entities
+from . import entities, masking
 from .graph import numbered
 
 
@@ -297,3 +297,46 @@ def same_entity(values: DataFrame, mappings: DataFrame) -> DataFrame:
     best = fits.groupBy("session_id", "value", "type").agg(F.count("*").alias("c"), F.max("mine").alias("mine"), F.max_by("token", F.struct("s", -num)).alias("token"))
     best = best.where("c = 1 OR mine >= 2").select("session_id", "value", "type", "token")
     return plain.unionByName(values.where(person).join(best, ["session_id", "value", "type"], "left").select("session_id", "value", "type", "token"))
+
+
+def taken(values: DataFrame, mappings: DataFrame) -> DataFrame:
+    """(session_id, value, type, token, apart_from): tokens of values (session_id, value, type, separate, seen) that a user
+    adds to a session's mappings (session_id, id, token, original_form, entity_type, status).
+
+    A value that has a row keeps its token; another form of a known entity takes the entity's token, unless it is to be
+    separate: then it gets a number of its own, and ``apart_from`` is the token it must not be grouped with again.
+    """
+    rows = mappings.groupBy("session_id", F.col("original_form").alias("value"), F.col("entity_type").alias("type")).agg(F.min_by("token", "id").alias("own"))
+    like = same_entity(values.select("session_id", "value", "type"), mappings).groupBy("session_id", "value", "type").agg(F.min("token").alias("like"))
+    each = values.join(rows, ["session_id", "value", "type"], "left").join(like, ["session_id", "value", "type"], "left")
+    fresh = each.where("own IS NULL AND (like IS NULL OR separate)")
+    new = masking.number_tokens(fresh.select("session_id", "value", "type", "seen"), mappings).select("session_id", "value", "type", F.col("token").alias("new"))
+    each = each.join(new, ["session_id", "value", "type"], "left")
+    return each.select("session_id", "value", "type", F.coalesce("own", "new", "like").alias("token"), F.when(F.col("new").isNotNull(), F.col("like")).alias("apart_from"))
+
+
+def audit(mappings: DataFrame) -> DataFrame:
+    """(entity_type, automatic, proposed): how many tokens of a kind are grouped by rule, and pairs left to a person."""
+    kinds = mappings.groupBy("session_id", "token").agg(F.min("entity_type").alias("entity_type"))
+    grouped = entities.auto_groups(mappings).where("token <> kept").join(kinds, ["session_id", "token"]).groupBy("entity_type").agg(F.count("*").alias("automatic"))
+    pairs = entities.review_pairs(mappings).select("session_id", F.col("a").alias("token")).join(kinds, ["session_id", "token"]).groupBy("entity_type").agg(F.count("*").alias("proposed"))
+    return grouped.join(pairs, "entity_type", "full").na.fill(0, ["automatic", "proposed"])
+
+
+def marks_in_order(marks: DataFrame, key: str) -> DataFrame:
+    """Restored marks (key, mark, value, pos), each once: the doubtful first, then by first place."""
+    severity = F.when(F.col("mark") == "unknown", 0).when(F.col("mark") == "case", 1).otherwise(2)
+    each = marks.groupBy(key, "mark", "value").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    return each.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(severity, "first", "value")))
+
+
+def stage_progress(beats: DataFrame, now, stale: int = 120) -> DataFrame:
+    """(job_id, stage, stages, seconds, state): where each job stands, from its beats (job_id, stage, ts, done).
+
+    A job whose last beat says done is done; one without a beat for ``stale`` seconds is interrupted; others run.
+    """
+    last = F.max_by(F.struct("stage", "done"), F.struct("ts", "stage"))
+    each = beats.groupBy("job_id").agg(last.alias("l"), F.count_distinct("stage").alias("stages"), F.min("ts").alias("began"), F.max("ts").alias("beat"))
+    seconds = lambda a, b: F.unix_seconds(F.to_timestamp(b)) - F.unix_seconds(F.to_timestamp(a))
+    state = F.when(F.col("l.done"), "done").when(seconds(F.col("beat"), now) > stale, "interrupted").otherwise("running")
+    return each.select("job_id", "l.stage", "stages", seconds(F.col("began"), F.col("beat")).alias("seconds"), state.alias("state"))

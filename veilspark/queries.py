@@ -554,6 +554,43 @@ def job_stage_totals(spark, sf_dir):
     return e.groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("n"), F.sum("p.k").alias("total"))
 
 
+_STATE = "CASE WHEN last % 5 = 0 THEN 'done' WHEN CAST(epoch(TIMESTAMP '2024-01-20 00:00:00') - epoch(beat) AS BIGINT) > 86400 THEN 'interrupted' ELSE 'running' END"
+
+
+@query(f"SELECT job_id, stage, stages, seconds, {_STATE} AS state FROM (SELECT user_id AS job_id, arg_max(event_type, {{'t': ts, 's': event_type}}) AS stage, arg_max(event_id, {{'t': ts, 's': event_type}}) AS last, count(DISTINCT event_type) AS stages, CAST(floor(epoch(max(ts))) - floor(epoch(min(ts))) AS BIGINT) AS seconds, max(ts) AS beat FROM events GROUP BY 1)".replace("epoch(beat)", "floor(epoch(beat))"))
+def job_progress(spark, sf_dir):
+    """Where every user's job stands by its last beat, the interrupted ones told apart."""
+    beats = read(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("stage"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 5 == 0).alias("done"))
+    return store.stage_progress(beats, F.lit("2024-01-20 00:00:00"), 86400)
+
+
+_BODY = "CAST(100000000 + o_orderkey * 7919 % 899999999 AS VARCHAR)"
+
+
+def _weighted_sql(body: str, weights: list[int]) -> str:
+    return f"list_sum(list_transform(range(1, {len(weights) + 1}), lambda i: CAST(({body})[i] AS INT) * ({weights})[i]))"
+
+
+_I12 = f"'5' || {_BODY} || ({_weighted_sql("'5' || " + _BODY, [7, 2, 4, 10, 3, 5, 9, 4, 6, 8])} % 11 % 10)"
+_REST = f"{_weighted_sql(_BODY, [9, 8, 7, 6, 5, 4, 3, 2, 1])} % 101 % 100"
+
+
+@query(
+    f"SELECT o_orderkey, {_BODY} || ({_weighted_sql(_BODY, [2, 4, 10, 3, 5, 9, 4, 6, 8])} % 11 % 10) AS inn10, {_I12} || ({_weighted_sql(_I12, [3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8])} % 11 % 10) AS inn12, "
+    f"'102' || {_BODY} || (CAST('102' || {_BODY} AS BIGINT) % 11 % 10) AS ogrn, '30400' || {_BODY} || (CAST('30400' || {_BODY} AS BIGINT) % 13 % 10) AS ogrnip, "
+    f"{_BODY}[1:3] || '-' || {_BODY}[4:6] || '-' || {_BODY}[7:9] || ' ' || lpad(CAST({_REST} AS VARCHAR), 2, '0') AS snils, true AS valid FROM orders"
+)
+def generated_identifiers(spark, sf_dir):
+    """Identifiers made with their check digits, all valid by the validators."""
+    body = (100000000 + F.col("o_orderkey") * 7919 % 899999999).cast("string")
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", body.alias("b")).select(
+        "o_orderkey", V.completed("inn10", "b").alias("inn10"), V.completed("inn12", F.concat(F.lit("5"), "b")).alias("inn12"), V.completed("ogrn", F.concat(F.lit("102"), "b")).alias("ogrn"),
+        V.completed("ogrnip", F.concat(F.lit("30400"), "b")).alias("ogrnip"), V.completed("snils", "b").alias("snils"), V.completed_account(F.concat(F.lit("407028100"), "b", F.lit("00")), F.lit("041588139")).alias("account"),
+    )
+    valid = V.inn10("inn10") & V.inn12("inn12") & V.ogrn("ogrn") & V.ogrnip("ogrnip") & V.snils("snils") & V.account_with_bik("account", F.lit("041588139"))
+    return rows.withColumn("valid", valid).drop("account")
+
+
 @query("SELECT token, status, form FROM (SELECT user_id AS token, arg_max(CASE event_id % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'excluded' WHEN 2 THEN 'active' ELSE 'replaced' END, event_id) AS status, arg_max(event_type, event_id) FILTER (event_id % 4 = 0) AS form FROM events GROUP BY 1)")
 def edits_folded(spark, sf_dir):
     ops = "CASE event_id % 4 WHEN 0 THEN 'add' WHEN 1 THEN 'exclude' WHEN 2 THEN 'unexclude' ELSE 'replace' END"

@@ -33,6 +33,27 @@ def digital(pages: DataFrame, most: float = 0.3) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.bool_and(F.coalesce(good, F.lit(False))).alias("digital"))
 
 
+#: Settings: their defaults and what else they may be. Fixed values.
+SETTINGS = {
+    "org_quotes": ("always", "keep"), "org_opf": ("context", "always", "never"), "highlight_case": (True, False), "pdf_to_word": (True, False),
+    "keep_pdf": (False, True), "retention_days": (30, 7, 90), "use_llm": (False, True),
+}
+SETTING_TYPES = {str: "STRING", bool: "BOOLEAN", int: "BIGINT"}
+
+
+def settings(bodies: DataFrame, body: str = "body") -> DataFrame:
+    """Rows with a column a setting, read from JSON; what is missing, of another type or not allowed has its default, and
+    so has everything in a body that can't be read."""
+    parsed = F.try_parse_json(body)
+    new = {}
+    for name, allowed in SETTINGS.items():
+        kind = SETTING_TYPES[type(allowed[0])]
+        raw = F.try_variant_get(parsed, f"$.{name}", "variant")
+        value = F.when(F.schema_of_variant(raw) == kind, F.try_variant_get(parsed, f"$.{name}", kind.lower()))
+        new[name] = F.when(value.isin(*allowed), value).otherwise(F.lit(allowed[0]))
+    return bodies.withColumns(new)
+
+
 def file_list(manifests: DataFrame) -> DataFrame:
     """(session_id, input, section, status, output, extra): entries of file lists (session_id, body), of either version;
     the older one, {input: {mode: output}}, is read as finished files; unreadable bodies have none."""
