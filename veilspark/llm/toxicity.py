@@ -86,7 +86,7 @@ def _root_g(c1, c0, n1: float, n0: float):
     return np.sqrt(np.maximum(2 * g, 0))
 
 
-def paired(docs: list[np.ndarray], y: np.ndarray, size: int, least: int, strong: float = 8.0, more: float = 3.0, block: int = 1024) -> np.ndarray:
+def paired(docs: list[np.ndarray], y: np.ndarray, size: int, least: int, strong: float = 8.0, more: float = 3.0, block: int = 256) -> np.ndarray:
     """Each term's largest root of G over the pairs that it is in and that exceed ``strong``, and both terms by ``more``.
 
     Terms too rare to reach ``strong`` in any pair are left out of the counts, which loses nothing.
@@ -185,6 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 2000, bits: int = 17, f
     off, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
     each = [flat[off[i] : off[i + 1]] for i in range(len(y))]
     model = train(each, y, bits, factors, epochs, least, differ, rate, decay, seed, float(share))
+    del rows, lists, off, flat, each
     X.release()
     return model
 
