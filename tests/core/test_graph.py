@@ -1,5 +1,6 @@
 import os
 import random
+import re
 
 import pytest
 
@@ -50,3 +51,24 @@ def test_numbers_follow_the_order(spark):
         want = sorted((v, i) for kk, v, i in rows if kk == k)
         assert [(r["v"], r["i"]) for r in sorted((r for r in got if r["k"] == k), key=lambda r: r["n"])] == want
         assert sorted(r["n"] for r in got if r["k"] == k) == list(range(1, len(want) + 1))
+
+
+def test_materialize_gives_freed_native_memory_back(spark):
+    """What the driver's JVM has freed, between pieces still in use, doesn't stay with it."""
+    jvm = spark._jvm
+
+    def anonymous():
+        with open(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup") as f:
+            return int(re.search(r"\nPss_Anon:\s+(\d+)", f.read())[1]) / 1024
+
+    graph.materialize(spark.range(5), "warm")
+    before, made = anonymous(), [jvm.java.util.zip.Deflater() for _ in range(3000)]
+    for i, d in enumerate(made):
+        if i % 10:
+            d.end()
+    freed = anonymous() - before
+    assert freed > 100
+    graph.materialize(spark.range(5), "after")
+    assert anonymous() - before < freed / 2
+    for d in made:
+        d.end()

@@ -99,8 +99,10 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = 2000, dims: int = 2048, rank: int = 64, k: int = 15, sharp: float = 8.0, seed: int = 7) -> Model:
     """At most ``bound`` documents a class outside the held-out fold; only their hashed counts come to the driver."""
+    C.give_back(docs.sparkSession)
     drawn = C.labelled(docs, labels, "quality", MOD, REM, bound).select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text")
     rows = drawn.mapInArrow(_sample_features(dims), "doc_id long, y int, i array<int>, v array<float>").toArrow().sort_by("doc_id")
+    C.give_back(docs.sparkSession)
     y = np.asarray(rows.column("y").to_pylist(), np.float64)
     if not len(y):
         return Model(None, None, y, 0.5, k, sharp)

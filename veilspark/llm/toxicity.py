@@ -175,8 +175,10 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 2000, bits: int = 17, f
                 cut = np.searchsorted(doc, np.arange(s.n + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(s.first, s.n), b.column("y").slice(s.first, s.n), pa.ListArray.from_arrays(pa.array(cut), pa.array(term.astype(np.int32)))], names=["doc_id", "y", "t"])
 
+    C.give_back(docs.sparkSession)
     drawn = C.labelled(docs, labels, "toxic", MOD, REM, bound).select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text")
     rows = drawn.mapInArrow(run, "doc_id long, y int, t array<int>").toArrow().sort_by("doc_id")
+    C.give_back(docs.sparkSession)
     y = rows.column("y").to_numpy().astype(np.float64)
     share = labels.where(F.col("toxic").isin(0, 1) & ~C.held_out(MOD, REM)).agg(F.avg("toxic")).first()[0] or 0.0
     if not len(y) or y.min() == y.max():
